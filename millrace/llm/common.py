@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +24,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return (found or DEFAULT_CHECKPOINT_DIR).rstrip("/")
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver found it.
+
+    On a cluster the package is installed or sent with --py-files; then this changes nothing.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 class Scratch:
     """Tables written under the shared checkpoint folder: they cut lineage and outlive executors.
 

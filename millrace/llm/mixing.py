@@ -23,6 +23,7 @@ from millrace.llm.common import SPACE, WORD, Scratch, n_buckets, prefix_sum
 ROUNDS = 24
 CELLS = 1024
 SHARD_GROUP = 4096
+SLOTS_PER_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -191,8 +192,9 @@ def _slots(spark, scratch: Scratch, sources: DataFrame, total: int, shard_slots:
     numbered = prefix_sum(final, ["skey"], group, ["shard"], "n", "c")
     last = F.col("ordinal") == F.col("n_slots") - 1
     whole = F.when(F.col("block") == F.col("n_blocks") - 1, F.col("_last")).otherwise(F.lit(block))
+    parts = max(1, -(-total // SLOTS_PER_TASK))  # few counts become many slots: dealt before they are spread out
     return (
-        numbered.select("shard", "skey", F.explode(F.sequence("c", F.col("c") + F.col("n") - 1)).alias("ordinal"))
+        numbered.repartition(parts, "shard", "skey").select("shard", "skey", F.explode(F.sequence("c", F.col("c") + F.col("n") - 1)).alias("ordinal"))
         .join(sources.select("skey", "n_blocks", "n_slots", "_last", "final_words"), "skey")
         .withColumn("epoch", F.expr("ordinal div n_blocks"))
         .withColumn("block", _swap_or_not(F.expr("ordinal % n_blocks"), F.col("n_blocks"), [F.lit(seed), F.col("skey"), F.col("epoch")]))
