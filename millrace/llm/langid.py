@@ -2,7 +2,7 @@
 
 Each language's zstandard raw-content dictionary holds slices of a bounded, hash-chosen sample of
 labelled documents (``docs_per_lang`` rows, ``slice_chars`` each; these bound what the driver
-fits). A text is compressed whole, in pieces of ``piece_bytes``, so that the dictionary and not
+fits). A text's letters are compressed whole, in pieces of ``piece_bytes``, so that the dictionary and not
 the text's own past decides. A narrow margin to the runner-up rejects the document.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, rejected; no labelled
@@ -24,8 +24,15 @@ from pyspark.sql import types as T
 from millrace.llm.common import on_workers
 
 LETTER = re.compile(r"[^\W\d_]")
-LEVEL = 3
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 UND = "und"
+#: Lazy matching down to four bytes: short matches are what tells languages apart.
+PARAMETERS = {"window_log": 18, "chain_log": 16, "hash_log": 16, "search_log": 4, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
+
+
+def letters_only(text: str) -> str:
+    """Lower case, with each run of other characters as one space: marks and capitals tell no language."""
+    return NOT_LETTERS.sub(" ", text.lower())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,7 +53,7 @@ def fit(docs: DataFrame, docs_per_lang: int = 64, slice_chars: int = 2000) -> di
     for r in rows.limit(20 * max(len(ids), 1)).collect() if ids else []:  # ids may repeat
         if LETTER.search(r["part"]):
             parts.setdefault(r["lang"], []).append((r["doc_id"], r["part"]))
-    return {lang: "\n".join(dict.fromkeys(t for _, t in sorted(found)[: 4 * docs_per_lang])).encode() for lang, found in sorted(parts.items())}
+    return {lang: "\n".join(dict.fromkeys(letters_only(t) for _, t in sorted(found)[: 4 * docs_per_lang])).encode() for lang, found in sorted(parts.items())}
 
 
 class Classifier:
@@ -55,14 +62,15 @@ class Classifier:
         self.packers = []
         for raw in content.values():
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+            how = zstandard.ZstdCompressionParameters(**PARAMETERS, write_checksum=False, write_content_size=False, write_dict_id=False)
+            d.precompute_compress(compression_params=how)
+            self.packers.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, rejected); the score is 0.5 where rejecting begins."""
         if not self.langs or text is None or not LETTER.search(text):
             return UND, 0.0, True
-        raw = text.encode("utf-8", "surrogatepass")
+        raw = letters_only(text).encode("utf-8", "surrogatepass")
         n = -(-len(raw) // self.piece)
         step = -(-len(raw) // n)
         sizes = [sum(len(p.compress(raw[i : i + step])) for i in range(0, len(raw), step)) for p in self.packers]

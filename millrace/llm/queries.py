@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, fingerprint, langid, mixing, secrets
+from millrace.llm import exact_dedup, fingerprint, langid, mixing, packing, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_batch(docs, F.col("doc_id") <= ((lo or 0) + (hi or 0)) // 2)
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_pack": op7_pack,
     "op8_language": op8_language,
     "op9_fingerprint": op9_fingerprint,
     "op10_secrets": op10_secrets,
