@@ -161,5 +161,5 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     for j in range(min(width, len(words))):
         acc = mix64(acc * _BASE + words[j : j + n])
     if len(words) < width:
-        acc = mix64(acc + np.uint64(len(words)) * _MULT)  # a short sequence never equals a full shingle
+        acc = mix64(acc + np.array([len(words)], np.uint64) * _MULT)  # a short sequence never equals a full shingle
     return np.unique(acc)

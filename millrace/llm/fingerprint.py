@@ -25,7 +25,7 @@ from millrace.llm.common import Scratch, mix64, on_workers
 
 GRAM = 16  # a power of two: hashes double in length
 WINDOW = 40
-ROWS_PER_RANGE = 2_000
+ROWS_PER_RANGE = 250
 _FACTOR = 0x9E3779B97F4A7C15
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
