@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, fingerprint, langid, mixing, near_dedup, packing, secrets
+from millrace.llm import exact_dedup, fingerprint, langid, mixing, near_dedup, packing, pii, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(_documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older half of the id range is the snapshot, the rest the incoming batch."""
     docs = _documents(spark, sf_dir)
@@ -47,6 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op7_pack": op7_pack,
