@@ -1,12 +1,55 @@
-"""Corpus pipeline: language, exact and near duplicates, mixing, packing."""
+"""Corpus pipeline over ``documents``: language, exact and near duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept. All but the
+last return the columns of documents; the last returns packed pieces. A stage's result is written
+as Parquet and read again as the next one's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from millrace.llm import exact_dedup, langid, mixing, near_dedup, packing
+from millrace.llm.common import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told apart by a clear margin."""
+    return langid.accepted(docs.select(COLUMNS))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of each group of equal texts."""
+    docs = docs.select(COLUMNS)
+    return exact_dedup.first_copies(docs, exact_dedup.middle(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8)."""
+    return near_dedup.keep_one(docs.select(COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mixture takes of each document, once for each time it is taken."""
+    return mixing.mixed_documents(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of 1024."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("pack", pack)]
+
+#: Compression, MinHash and hash-drawn mixing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

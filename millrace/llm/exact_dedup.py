@@ -2,9 +2,9 @@
 
 A snapshot's distinct digests are dealt into buckets by their leading bits; each bucket gets one
 3-wise binary-fuse filter. A batch's distinct digests pass their bucket's filter; only positives
-join the snapshot's exact bucket, and only texts that seem repeated are read again and compared
-byte by byte. Duplicates inside a batch are grouped separately. No text is shuffled except those
-seen at least twice, and equal texts are combined before that shuffle.
+join the snapshot's exact bucket, and only texts that seem repeated are compared byte by byte (found
+by one semi-join on doc_id, the only step that moves texts). Duplicates inside a batch are grouped
+separately, and equal texts are combined inside each task before they move again.
 
 Defined cases: null text is empty text; an empty table gives an empty result; rows without doc_id
 come after all others, so that one stays only in a group without any doc_id; of rows equal in
@@ -122,7 +122,7 @@ def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def dedup_batch(docs: DataFrame, in_snapshot: Column) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, xx (xxHash64 of the normalised text), keep_id, group_size, kept, text_sha256.
 
     ``in_snapshot`` tells the snapshot's rows (over doc_id) from the incoming batch.
     """
@@ -156,9 +156,26 @@ def dedup_batch(docs: DataFrame, in_snapshot: Column) -> DataFrame:
         hashed.join(groups, ["sha", "xx"], "left")
         .select(
             "doc_id",
+            "xx",
             F.when(single, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
             F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
             (single | (F.col("rid") == F.col("first.rid"))).alias("kept"),
             F.col("sha").alias("text_sha256"),
         )
     )
+
+
+def first_copies(docs: DataFrame, in_snapshot: Column) -> DataFrame:
+    """The given rows, all columns, without exact duplicates."""
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
+    kept = dedup_batch(docs, in_snapshot).where("kept").select(*keys, F.col("xx").alias("_xx"))
+    rows = docs.select("*", *keys, F.xxhash64(normalised(F.col("text"))).alias("_xx"))
+    names = ["_id", "_null", "_xx"]
+    # rows equal in doc_id and text can't be told apart by a join: folded where the join has put them
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).select(docs.columns)
+
+
+def middle(docs: DataFrame) -> Column:
+    """The older half of the id range, as the snapshot of a table that holds both."""
+    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return F.col("doc_id") <= ((lo or 0) + (hi or 0)) // 2

@@ -104,3 +104,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     content = fit(docs, **{k: v for k, v in options.items() if k in ("docs_per_lang", "slice_chars")})
     found = predict(docs.select("doc_id", "text"), content, **{k: v for k, v in options.items() if k in ("piece_bytes", "narrow")})
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, **options) -> DataFrame:
+    """The documents that aren't rejected, with their columns; a missing lang is filled in."""
+    content = fit(docs, **options)
+    found = predict(docs, content).where("NOT rejected").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return found.select(docs.columns)

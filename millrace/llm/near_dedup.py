@@ -9,8 +9,8 @@ links make components, and further rounds (with other heads) look only at bucket
 several components. Once few pairs are left, these are compared block by block, exactly, so that
 no pair that shares a bucket is left out, however large the bucket is.
 
-A pair at the threshold of 0.85 shares no bucket with probability (1 - 0.85**4)**24 = 2e-8, and
-fails the screen with about 1e-8.
+A pair at a threshold of 0.85 shares no bucket with probability (1 - 0.85**4)**24 = 2e-8, at 0.8
+with 3e-6; it fails the screen with less than 1e-6.
 
 Defined cases: null text, or text without words, is an empty set, linked with nothing, also not
 with copies of itself; rows equal in text are one class; null doc_ids come after all others (a
@@ -20,6 +20,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from millrace.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
 BITS = 512
-#: Of 96 values of a pair at 0.85, more than 36 differ with probability 1e-8.
-MOST_DIFFERING = 36
+#: The screen lets pass what is within so many standard deviations of the threshold.
+DEVIATIONS = 5.5
 BLOCK = 1024
 ROUNDS_OF_HEADS = 6
 
@@ -44,6 +45,12 @@ _SALTS = mix64(np.arange(1, _N + 1, dtype=np.uint64))
 _WORDS = [f"s{i}" for i in range(BITS // 64)]
 
 
+def most_differing(percent: int) -> int:
+    """How many of the MinHash values may differ in a pair that passes the screen."""
+    j = percent / 100
+    return math.ceil(_N * (1 - j) + DEVIATIONS * math.sqrt(_N * j * (1 - j)))
+
+
 def minhashes(items: np.ndarray) -> np.ndarray:
     out = np.full(_N, 2**64 - 1, np.uint64)
     for at in range(0, len(items), 2048):
@@ -67,7 +74,7 @@ def _digest(items: np.ndarray) -> tuple[int, int]:
     return int(lo), int(hi)
 
 
-_SKETCHED = "rid long, doc_id long, n_shingles long, lo long, hi long, bands array<long>, sketch array<long>"
+_SKETCHED = "rid long, doc_id long, text_hash long, n_shingles long, lo long, hi long, bands array<long>, sketch array<long>"
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -85,11 +92,11 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 bands.append(keys)
                 sketches.append(sketch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, many), pa.array(sketches, many)],
-                ["rid", "doc_id", "n_shingles", "lo", "hi", "bands", "sketch"],
+                [batch.column("rid"), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(bands, many), pa.array(sketches, many)],
+                ["rid", "doc_id", "text_hash", "n_shingles", "lo", "hi", "bands", "sketch"],
             )
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, _SKETCHED)
+    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, _SKETCHED)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -120,7 +127,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     likely = (
         pairs.join(side("u"), "u").join(side("v"), "v")
-        .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & (_differing("s_u", "s_v") <= 2 * MOST_DIFFERING))
+        .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & (_differing("s_u", "s_v") <= 2 * most_differing(percent)))
         .select("u", "v")
     )
     items = lambda c: sets.select(F.col("cid").alias(c), F.col("items").alias(f"i_{c}"))
@@ -154,13 +161,13 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
-def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _rest(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) across components that share a bucket and pass size and sketch, once each.
 
     A bucket's rows are numbered and cut into blocks; two blocks meet unless both lie in one and the
     same component. A pair is told at the first band that it shares.
     """
-    total = rows.count()
+    total, most = rows.count(), 2 * most_differing(percent)
     ordered = rows.withColumn("one", F.lit(1))
     ordered = prefix_sum(ordered, ["key"], F.pmod(F.xxhash64("comp"), F.lit(n_buckets(total, BLOCK))), ["comp", "cid"], "one", "at")
     blocks = ordered.select("key", "cid", "comp", F.expr(f"at div {BLOCK}").alias("block"))
@@ -181,13 +188,13 @@ def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
         lb, ls = bands(left), sketch(left)
         out_u, out_v = [], []
         for i, (u, comp, n) in enumerate(zip(left["cid"], left["comp"], left["n_shingles"], strict=True)):
-            ok = (rc != comp) & (np.minimum(rn, n) * 100 >= np.maximum(rn, n) * 80)
+            ok = (rc != comp) & (np.minimum(rn, n) * 100 >= np.maximum(rn, n) * percent)
             if same:
                 ok &= rid > u
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            at = at[np.bitwise_count(rs[at] ^ ls[i]).sum(axis=1) <= 2 * MOST_DIFFERING]
+            at = at[np.bitwise_count(rs[at] ^ ls[i]).sum(axis=1) <= most]
             shared = rb[at] == lb[i]
             at = at[lb[i][shared.argmax(axis=1)] == key]
             out_u.append(np.full(len(at), u))
@@ -199,7 +206,7 @@ def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document; a link is a pair whose sets of
+    """doc_id, text_hash (xxHash64 of the text), n_shingles, component_id, kept for every document; a link is a pair whose sets of
     ``width``-word shingles have 100 x intersection >= percent x union. percent is at least 80."""
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 0.8 and more")
@@ -232,7 +239,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if not n:
             break
         if left <= 2 * n or k == ROUNDS_OF_HEADS:  # few pairs are left: all of them, exactly
-            links = verified(_rest(rows, classes), classes, sets, percent)
+            links = verified(_rest(rows, classes, percent), classes, sets, percent)
             labels = _merge(labels, links, scratch)
             break
         order = F.xxhash64(F.lit(k), "cid")
@@ -244,6 +251,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     comp_of = classes.select("cid", "least").join(labels, "cid", "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
     named = comp_of.join(comp_of.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
     by_set = classes.select("cid", "lo", "hi").join(named.select("cid", "component_id"), "cid").select("lo", "hi", "component_id")
-    found = seen.select("doc_id", "n_shingles", "lo", "hi").join(by_set, ["lo", "hi"], "left")
+    found = seen.select("doc_id", "text_hash", "n_shingles", "lo", "hi").join(by_set, ["lo", "hi"], "left")
     comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    return found.select("doc_id", "text_hash", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The given rows, all columns, without near duplicates: one document of each component stays."""
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]) & (F.xxhash64(docs["text"]) == kept["_h"]), "left_semi")

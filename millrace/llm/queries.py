@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, fingerprint, langid, mixing, near_dedup, packing, pii, secrets
+from millrace.llm import chat, exact_dedup, fingerprint, langid, mixing, near_dedup, packing, pii, secrets, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +25,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older half of the id range is the snapshot, the rest the incoming batch."""
     docs = _documents(spark, sf_dir)
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    return exact_dedup.dedup_batch(docs, F.col("doc_id") <= ((lo or 0) + (hi or 0)) // 2)
+    return exact_dedup.dedup_batch(docs, exact_dedup.middle(docs)).drop("xx")
+
+
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.pair_by_parity(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), width=3, percent=85).drop("text_hash")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_preferences": op4_preferences,
     "op5_near_dedup": op5_near_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_pack": op7_pack,
     "op8_language": op8_language,
     "op9_fingerprint": op9_fingerprint,
@@ -67,6 +76,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g USING (t)
     """,
+    "op4_preferences": """
+        WITH t AS (
+            SELECT floor(conv_id / 2)::BIGINT AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
+                coalesce(role, 'user') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS LAST, role, text) AS pos FROM t),
+        s AS (SELECT pair_id, pos, count(*) = 2 AND count(DISTINCT (role, text)) = 1 AS same FROM n GROUP BY pair_id, pos),
+        l AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) AS n_prompt_turns FROM s GROUP BY pair_id),
+        g AS (
+            SELECT n.*, n_prompt_turns, pos > n_prompt_turns AS after, text || '<|end|>' || chr(10) AS body,
+                '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS seg
+            FROM n JOIN l USING (pair_id)),
+        e AS (SELECT *, sum(length(seg)) OVER (PARTITION BY pair_id, side, after ORDER BY pos)::BIGINT AS e FROM g)
+        SELECT pair_id, n_prompt_turns,
+            coalesce(string_agg(seg, '' ORDER BY pos) FILTER (NOT after AND side = 'chosen'), '') AS prompt,
+            coalesce(string_agg(seg, '' ORDER BY pos) FILTER (after AND side = 'chosen'), '') AS chosen,
+            coalesce(string_agg((e - length(body)) || ':' || e, ',' ORDER BY pos) FILTER (after AND side = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+            coalesce(string_agg(seg, '' ORDER BY pos) FILTER (after AND side = 'rejected'), '') AS rejected,
+            coalesce(string_agg((e - length(body)) || ':' || e, ',' ORDER BY pos) FILTER (after AND side = 'rejected' AND role = 'assistant'), '') AS rejected_mask,
+            bool_or(side = 'chosen') AND bool_or(side = 'rejected') AS complete
+        FROM e GROUP BY pair_id, n_prompt_turns
+    """,
     "op5_near_dedup": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
