@@ -1,4 +1,14 @@
 """Every registered query and, where SQL can express it, its DuckDB twin."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.plans import data, flights, learning, market, registered, trading
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = registered.QUERIES
+ORACLE_SQL: dict[str, str] = registered.ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "data", "flights", "learning", "market", "trading"]
