@@ -159,3 +159,18 @@ SELECT split::INT AS split, config AS best, rank::INT AS rank, round(ln((rank /
 def pbo(spark: SparkSession, sf: str) -> DataFrame:
     p = T.read(spark, sf, "events").groupBy(F.to_date("ts").alias("period"), F.hour("ts").alias("config")).agg((F.avg("value") - 50).alias("perf"))
     return shown(R.backtest_overfitting(p, 6), ["split"], ["best", "rank", "logit"])
+
+
+@query()
+def ml_random_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-sample scores of a forest on lagged features, trained on the first 80 % of each symbol."""
+    from millrace.operators import indicators as I
+    from millrace.operators import metrics as M
+    from millrace.operators import models
+
+    features = ["rsi", "volatility", "volume_features_volume_ratio", "atr"]
+    x = I.compute(T.bars_1h(spark, sf), ["rsi", "volatility", "volume_features", "atr"])
+    x = R.chronological_split(S.with_pos(L.next_up(x)))
+    fitted = models.train(x.where("role = 'train'"), features, "target")
+    out = models.predict(fitted, x.where("role = 'test' AND target IS NOT NULL"), features)
+    return shown(M.classification(out, "target", "prediction", "p"), ["tp", "fp", "tn", "fn"], ["accuracy", "precision", "recall", "f1", "auc"])
