@@ -127,9 +127,9 @@ def cost_sweep(df: DataFrame, probability: str, thresholds: list[float], costs:
 
 
 def best_threshold(sweep: DataFrame, metric: str = "sharpe") -> DataFrame:
-    """Per symbol: the threshold of the greatest metric, the lower one of equals."""
+    """Per symbol: the threshold of the greatest metric (to nine digits), the lower one of equals."""
     mean = sweep.groupBy("symbol", "threshold").agg(F.avg(metric).alias(metric))
-    return mean.groupBy("symbol").agg(F.max_by("threshold", F.struct(metric, -F.col("threshold"))).alias("threshold"), F.max(metric).alias(metric))
+    return mean.groupBy("symbol").agg(F.max_by("threshold", F.struct(F.round(metric, 9), -F.col("threshold"))).alias("threshold"), F.max(metric).alias(metric))
 
 
 def versus(strategy: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -232,7 +232,7 @@ def cost_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {Q.B1H}, {_SWEEP}, a AS (SELECT symbol, threshold, avg(sharpe) AS sharpe FROM sw GROUP BY ALL)
-SELECT symbol, threshold, round(sharpe, 6) AS sharpe FROM a QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, threshold) = 1""")
+SELECT symbol, threshold, round(sharpe, 6) AS sharpe FROM a QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe, 9) DESC, threshold) = 1""")
 def threshold_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return shown(X.best_threshold(_sweep(spark, sf)), ["symbol"], ["threshold", "sharpe"])
 
