@@ -7,7 +7,8 @@ it, which screens a proposed pair in a few JVM operations. What passes is settle
 sets. Buckets are never expanded into all pairs: every class first meets one head per bucket,
 links make components, and further rounds (with other heads) look only at buckets that still hold
 several components. Once few pairs are left, these are compared block by block, exactly, so that
-no pair that shares a bucket is left out, however large the bucket is.
+no pair that shares a bucket is left out, however large the bucket is; a block gives only links
+that still join something.
 
 A pair at a threshold of 0.85 shares no bucket with probability (1 - 0.85**4)**24 = 2e-8, at 0.8
 with 3e-6; it fails the screen with less than 1e-6.
@@ -36,7 +37,7 @@ BANDS, ROWS = 24, 4
 BITS = 512
 #: The screen lets pass what is within so many standard deviations of the threshold.
 DEVIATIONS = 5.5
-BLOCK = 1024
+BLOCK = 512
 ROUNDS_OF_HEADS = 6
 
 _N = BANDS * ROWS
@@ -161,15 +162,88 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
-def _rest(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) across components that share a bucket and pass size and sketch, once each.
+def _columns(g: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {
+        "cid": g["cid"].to_numpy(np.int64), "comp": g["comp"].to_numpy(np.int64), "n": g["n_shingles"].to_numpy(np.int64),
+        "bands": np.stack(g["bands"].to_numpy()).astype(np.int64), "sketch": np.stack(g["sketch"].to_numpy()).astype(np.int64).view(np.uint64),
+    }
+
+
+def _sides(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    same = bool(g["block"].iloc[0] == g["block2"].iloc[0])
+    return (g, g, True) if same else (g[g["side"] == 0], g[g["side"] == 1], False)
+
+
+def _candidates(left: dict, right: dict, same: bool, key: int, percent: int) -> np.ndarray:
+    """Which pairs of two blocks are across components, of like size and sketch, and meet in this
+    bucket first (a pair that shares several bands is looked at once)."""
+    most = 2 * most_differing(percent)
+    out = np.zeros((len(left["cid"]), len(right["cid"])), bool)
+    for i in range(len(out)):
+        ok = (right["comp"] != left["comp"][i]) & (np.minimum(right["n"], left["n"][i]) * 100 >= np.maximum(right["n"], left["n"][i]) * percent)
+        if same:
+            ok &= right["cid"] > left["cid"][i]
+        at = np.flatnonzero(ok)
+        at = at[np.bitwise_count(right["sketch"][at] ^ left["sketch"][i]).sum(axis=1) <= most]
+        shared = right["bands"][at] == left["bands"][i]
+        out[i, at[left["bands"][i][shared.argmax(axis=1)] == key]] = True
+    return out
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray], likely: np.ndarray, percent: int, slab: int = 1 << 15) -> np.ndarray:
+    """Which likely pairs of sets are links. Items that stand in one set only are counted out; the
+    others become bitmaps, slab by slab, and intersections population counts."""
+    sizes = np.array([len(x) for x in left + right])
+    items, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    common = np.bincount(at, minlength=len(items)) > 1
+    keep = common[at]
+    row, at = row[keep], (np.cumsum(common) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    pairs = [(i, np.flatnonzero(likely[i])) for i in np.flatnonzero(likely.any(axis=1))]
+    both = [np.zeros(len(j), np.int64) for _, j in pairs]
+    for lo in range(0, int(common.sum()), slab):
+        a, b = np.searchsorted(at, [lo, lo + slab])
+        bits = np.zeros((len(sizes), slab), bool)
+        bits[row[a:b], at[a:b] - lo] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        for (i, j), n in zip(pairs, both, strict=True):
+            n += np.bitwise_count(words[len(left) + j] & words[i]).sum(axis=1, dtype=np.int64)
+    out = np.zeros_like(likely)
+    for (i, j), n in zip(pairs, both, strict=True):
+        out[i, j] = n * 100 >= (sizes[i] + sizes[len(left) + j] - n) * percent
+    return out
+
+
+def _spanning(us: np.ndarray, vs: np.ndarray) -> tuple[list[int], list[int]]:
+    """The pairs that still join something: never more than there are classes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out_u, out_v = [], []
+    for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out_u.append(u)
+            out_v.append(v)
+    return out_u, out_v
+
+
+def _rest(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join all components joined by any pair that shares a bucket.
 
     A bucket's rows are numbered and cut into blocks; two blocks meet unless both lie in one and the
-    same component. A pair is told at the first band that it shares.
+    same component. Sketches tell, row by row, which classes have a likely partner; only these come
+    again with their full sets, and what leaves a meeting is at most one link a class.
     """
-    total, most = rows.count(), 2 * most_differing(percent)
     ordered = rows.withColumn("one", F.lit(1))
-    ordered = prefix_sum(ordered, ["key"], F.pmod(F.xxhash64("comp"), F.lit(n_buckets(total, BLOCK))), ["comp", "cid"], "one", "at")
+    ordered = prefix_sum(ordered, ["key"], F.pmod(F.xxhash64("comp"), F.lit(n_buckets(rows.count(), BLOCK))), ["comp", "cid"], "one", "at")
     blocks = ordered.select("key", "cid", "comp", F.expr(f"at div {BLOCK}").alias("block"))
     spans = blocks.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     other = spans.select("key", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -177,32 +251,32 @@ def _rest(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     meet = meet.select("key", "block", "block2")
     one = blocks.join(meet, ["key", "block"]).select("key", "block", "block2", "cid", "comp", F.lit(0).alias("side"))
     two = blocks.withColumnRenamed("block", "block2").join(meet.where("block != block2"), ["key", "block2"]).select("key", "block", "block2", "cid", "comp", F.lit(1).alias("side"))
-    full = one.unionByName(two).join(classes.select("cid", "n_shingles", "bands", "sketch"), "cid")
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        key = g["key"].iloc[0]
-        same = g["block"].iloc[0] == g["block2"].iloc[0]
-        left, right = (g, g) if same else (g[g["side"] == 0], g[g["side"] == 1])
-        bands, sketch = (lambda x: np.stack(x["bands"].to_numpy())), (lambda x: np.stack(x["sketch"].to_numpy()).view(np.uint64))
-        rb, rs, rn, rc, rid = bands(right), sketch(right), right["n_shingles"].to_numpy(), right["comp"].to_numpy(), right["cid"].to_numpy()
-        lb, ls = bands(left), sketch(left)
-        out_u, out_v = [], []
-        for i, (u, comp, n) in enumerate(zip(left["cid"], left["comp"], left["n_shingles"], strict=True)):
-            ok = (rc != comp) & (np.minimum(rn, n) * 100 >= np.maximum(rn, n) * percent)
-            if same:
-                ok &= rid > u
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            at = at[np.bitwise_count(rs[at] ^ ls[i]).sum(axis=1) <= most]
-            shared = rb[at] == lb[i]
-            at = at[lb[i][shared.argmax(axis=1)] == key]
-            out_u.append(np.full(len(at), u))
-            out_v.append(rid[at])
-        empty = np.empty(0, np.int64)
-        return pd.DataFrame({"u": np.concatenate([empty, *out_u]), "v": np.concatenate([empty, *out_v])})
-
-    return full.groupBy("key", "block", "block2").applyInPandas(compare, "u long, v long").distinct()
+    seen = classes.select("cid", "n_shingles", "bands", "sketch")
+    names = ["key", "block", "block2", "cid", "comp", "side"]
+
+    def mark(g: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(g)
+        if left.empty or right.empty:
+            return g.iloc[:0][names]
+        likely = _candidates(_columns(left), _columns(right), same, g["key"].iloc[0], percent)
+        rows_, cols = likely.any(axis=1), likely.any(axis=0)
+        return left[rows_ | cols][names] if same else pd.concat([left[rows_], right[cols]])[names]
+
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(g)
+        if left.empty or right.empty:
+            return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
+        a, b = _columns(left), _columns(right)
+        likely = _candidates(a, b, same, g["key"].iloc[0], percent)
+        i, j = np.nonzero(_links(list(left["items"]), list(right["items"]), likely, percent))
+        u, v = _spanning(a["cid"][i], b["cid"][j])
+        return pd.DataFrame({"u": u, "v": v}, dtype=np.int64)
+
+    group = ["key", "block", "block2"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    likely = one.unionByName(two).join(seen, "cid").repartition(parts, *group).groupBy(*group).applyInPandas(mark, "key long, block long, block2 long, cid long, comp long, side int")
+    again = likely.join(seen, "cid").join(sets, "cid").repartition(parts, *group)
+    return again.groupBy(*group).applyInPandas(settle, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -239,8 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if not n:
             break
         if left <= 2 * n or k == ROUNDS_OF_HEADS:  # few pairs are left: all of them, exactly
-            links = verified(_rest(rows, classes, percent), classes, sets, percent)
-            labels = _merge(labels, links, scratch)
+            labels = _merge(labels, _rest(rows, classes, sets, percent), scratch)
             break
         order = F.xxhash64(F.lit(k), "cid")
         head = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("cid").alias("u"), F.col("comp").alias("c"))).alias("t"))
