@@ -141,8 +141,8 @@ def discover(docs_words: DataFrame, mentions: DataFrame, scratch: Scratch, suppo
     useful = links.where("not seed").select("k", "side", "token").distinct()
     links = scratch.save(links.join(useful, ["k", "side", "token"]), "graph")
     tokens = scratch.save(links.select("token").distinct(), "tokens")
-    # occurrences of those words in the whole corpus; Spark broadcasts the words only if they are few
-    totals = scratch.save(docs_words.join(tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n_all")), "totals")
+    # occurrences of those words in the whole corpus: words are counted before they meet the patterns
+    totals = scratch.save(docs_words.groupBy("token").agg(F.count(F.lit(1)).alias("n_all")).join(tokens, "token"), "totals")
     graph = scratch.save(links.join(totals, "token", "left").withColumn("n_all", F.greatest(F.coalesce("n_all", F.lit(0)), F.col("m"))), "weighted")
     scores = graph.select("k", "inst", "seed").distinct().withColumn("score", F.col("seed").cast("double"))
     for i in range(ITERATIONS):
