@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -71,6 +72,13 @@ class Scratch:
             pass
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are gone: it waits for the driver's garbage
+    collectors, which have little reason to run while a loop of small jobs fills disks elsewhere."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def prefix_sum(df: DataFrame, keys: list[str], bucket: Column, order: list, value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` within ``keys`` in the order (bucket, order).
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, mix64, n_buckets, on_workers, prefix_sum, shingle_set
+from millrace.llm.common import Scratch, mix64, n_buckets, on_workers, prefix_sum, release_shuffles, shingle_set
 from millrace.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -123,7 +123,7 @@ def _differing(a: str, b: str) -> Column:
     return out
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, sets_of_u: DataFrame | None = None) -> DataFrame:
     """The pairs (u, v) of classes that are links: sizes and sketches first, then full sets."""
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     likely = (
@@ -131,10 +131,10 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
         .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & (_differing("s_u", "s_v") <= 2 * most_differing(percent)))
         .select("u", "v")
     )
-    items = lambda c: sets.select(F.col("cid").alias(c), F.col("items").alias(f"i_{c}"))
+    items = lambda c: (sets if sets_of_u is None or c == "v" else sets_of_u).select(F.col("cid").alias(c), F.col("items").alias(f"i_{c}"))
     both = F.size(F.array_intersect("i_u", "i_v"))
     return (
-        likely.join(items("u"), "u").join(items("v"), "v")
+        likely.join(items("v"), "v").join(items("u"), "u")
         .select("u", "v", both.alias("both"), (F.size("i_u") + F.size("i_v")).alias("sum"))
         .where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
         .select("u", "v")
@@ -306,6 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     pairs = buckets.where("cid != head").select(F.col("head").alias("u"), F.col("cid").alias("v")).distinct()
     labels = _merge(None, verified(pairs, classes, sets, percent), scratch)
+    release_shuffles(spark)
     for k in range(ROUNDS_OF_HEADS + 1):
         rows = scratch.save(_open_buckets(buckets, labels), "open")
         by_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -317,9 +318,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             break
         order = F.xxhash64(F.lit(k), "cid")
         head = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("cid").alias("u"), F.col("comp").alias("c"))).alias("t"))
-        pairs = rows.join(head.select("key", "t.u", "t.c"), "key").where("comp != c").select("u", F.col("cid").alias("v")).distinct()
-        labels = _merge(labels, verified(pairs, classes, sets, percent), scratch)
-        scratch.drop(rows)
+        head = scratch.save(head.select("key", "t.u", "t.c"), "heads")
+        pairs = rows.join(head, "key").where("comp != c").select("u", F.col("cid").alias("v")).distinct()
+        # the heads of large buckets are few: stored by themselves, Spark knows whether they can be broadcast
+        of_heads = scratch.save(sets.join(head.select(F.col("u").alias("cid")).distinct(), "cid", "left_semi"), "head_sets")
+        merged = _merge(labels, verified(pairs, classes, sets, percent, of_heads), scratch)
+        scratch.drop(rows, head, of_heads, labels)
+        labels = merged
+        release_shuffles(spark)
 
     comp_of = classes.select("cid", "least").join(labels, "cid", "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
     named = comp_of.join(comp_of.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
