@@ -3,7 +3,8 @@
 Each language's zstandard raw-content dictionary holds slices of a bounded, hash-chosen sample of
 labelled documents (``docs_per_lang`` rows, ``slice_chars`` each; these bound what the driver
 fits). A text's letters are compressed whole, in pieces of ``piece_bytes``, so that the dictionary and not
-the text's own past decides. A narrow margin to the runner-up rejects the document.
+the text's own past decides. A narrow margin to the runner-up rejects the document: under NARROW of
+its size or, in short texts, under TIE_BYTES or TIE_SHARE, whichever is less.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, rejected; no labelled
 document at all: ``und`` throughout; null doc_id: predicted like any other, never learned from,
@@ -29,6 +30,12 @@ UND = "und"
 #: Lazy matching down to four bytes: short matches are what tells languages apart.
 PARAMETERS = {"window_log": 18, "chain_log": 16, "hash_log": 16, "search_log": 4, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
 
+#: From the margins of labelled documents that aren't held out, and of random letters, whose margins
+#: are some bytes at any length: relative ones shrink with the text, so short texts need a wider bound.
+NARROW = 0.03
+TIE_BYTES = 8
+TIE_SHARE = 0.06
+
 
 def letters_only(text: str) -> str:
     """Lower case, with each run of other characters as one space: marks and capitals tell no language."""
@@ -76,11 +83,14 @@ class Classifier:
         sizes = [sum(len(p.compress(raw[i : i + step])) for i in range(0, len(raw), step)) for p in self.packers]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], self.langs[i]))
         rest = sizes[:best] + sizes[best + 1 :]
-        margin = (min(rest) - sizes[best]) / min(rest) if rest else 1.0
-        return self.langs[best], margin / (margin + self.narrow), margin < self.narrow
+        if not rest:
+            return self.langs[best], 1.0 / (1.0 + self.narrow), False
+        margin = (min(rest) - sizes[best]) / min(rest)
+        bound = max(self.narrow, min(TIE_SHARE, TIE_BYTES / min(rest)))
+        return self.langs[best], margin / (margin + bound), margin < bound
 
 
-def predict(docs: DataFrame, content: dict[str, bytes], piece_bytes: int = 4096, narrow: float = 0.002) -> DataFrame:
+def predict(docs: DataFrame, content: dict[str, bytes], piece_bytes: int = 4096, narrow: float = NARROW) -> DataFrame:
     """Adds lang_pred, score and rejected to the given columns; only ``text`` is looked at."""
     on_workers(docs.sparkSession)
     names = docs.columns

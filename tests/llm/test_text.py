@@ -133,6 +133,17 @@ def test_languages_of_odd_rows(spark):
     assert langid.accepted(docs_of(spark, texts, langs=langs)).columns == DOCS.replace(",", "").split()[::2]
 
 
+def test_random_letters_are_rejected_and_clean_texts_stay(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classify = langid.Classifier(langid.fit(df), 4096, langid.NARROW)
+    r = random.Random(5)
+    for words in (10, 20, 60, 200, 600):
+        junk = [" ".join("".join(chr(97 + r.randrange(26)) for _ in range(r.randint(2, 9))) for _ in range(words)) for _ in range(100)]
+        assert sum(not classify(t)[2] for t in junk) <= 5, words
+    clean = [x.text for x in df.where(~langid.held_out(F.col("doc_id")) & (F.length("text") >= 80)).select("text").collect()]
+    assert sum(classify(t)[2] for t in clean) <= 0.01 * len(clean)
+
+
 # ---------------------------------------------------------------------------------------- packing
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_is_gapless_complete_and_tight(seed):
