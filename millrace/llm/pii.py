@@ -2,9 +2,11 @@
 
 Four base kinds are found by strict patterns and checks; they are the seeds. Looser shapes give
 candidates (numbers without the plus sign, addresses written with "(at)", masked cards ...). The
-words left and right of seeds and candidates are lexical patterns. Patterns and instances form a
-bipartite graph: a pattern's confidence is the score of the instances that it introduces against
-all occurrences of its word in the corpus, an instance's score is the noisy-or of its patterns;
+words left and right of seeds and candidates are lexical patterns; a fragment that is glued to a
+span ("tel:", a full stop) is a pattern of its own kind. Patterns and instances form a bipartite
+graph: a pattern's confidence is the score of the instances that it introduces against all its
+occurrences in the corpus (a word as a whole word, a glued fragment as the start or the end of a
+longer word), an instance's score is the noisy-or of its patterns;
 seeds stay at 1. After ITERATIONS rounds, candidates with a score of at least ACCEPT through
 patterns of at least SUPPORT distinct seeds are identifiers, wherever they occur.
 
@@ -27,6 +29,7 @@ ACCEPT = 0.8
 STRONG = 0.5
 ITERATIONS = 3
 CONTEXT = 48
+PATTERN = ["k", "side", "glued", "token"]
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Written without backtracking; each finds what the plain form finds.
@@ -118,6 +121,7 @@ def _mentions(text: Column, base: Column, loose: Column) -> Column:
                 x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["t"]).alias("inst"), F.lit(seed).alias("seed"),
                 _token(F.regexp_extract(left, r"(\S++)\s*$", 1)).alias("left"),
                 _token(F.regexp_extract(right, r"^\s*(\S+)", 1)).alias("right"),
+                left.rlike(r"\S\z").alias("left_glued"), right.rlike(r"^\S").alias("right_glued"),
             )
 
         return make
@@ -130,30 +134,43 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
+def occurrences(docs_words: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(side, glued, token, n_all): how often each pattern's text occurs in the form of its contexts."""
+    wanted = patterns.select("side", "glued", "token").distinct()
+    lengths = wanted.where("glued").select("side", F.length("token").alias("n")).distinct().collect()  # at most CONTEXT a side
+    whole = [F.struct(F.lit(s).alias("side"), F.lit(False).alias("glued"), F.col("token")) for s in "LR"]
+    part = lambda s, n: F.left("token", F.lit(n)) if s == "L" else F.right("token", F.lit(n))
+    ends = [
+        F.struct(F.lit(r["side"]).alias("side"), F.lit(True).alias("glued"), F.when(F.length("token") > r["n"], part(r["side"], r["n"])).alias("token"))
+        for r in sorted(lengths)
+    ]
+    # words are counted before they meet the patterns
+    words = docs_words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    forms = words.select("n", F.explode(F.array(*whole, *ends)).alias("p")).select("n", "p.*")
+    return forms.join(wanted, ["side", "glued", "token"]).groupBy("side", "glued", "token").agg(F.sum("n").alias("n_all"))
+
+
 def discover(docs_words: DataFrame, mentions: DataFrame, scratch: Scratch, support: int = SUPPORT) -> DataFrame:
     """(k, inst) of the candidates that high-confidence patterns introduce."""
-    sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("token")), F.struct(F.lit("R").alias("side"), F.col("right").alias("token"))))
-    links = mentions.select("k", "inst", "seed", sides.alias("p")).select("k", "inst", "seed", "p.side", "p.token").where("token != ''")
-    links = scratch.save(links.groupBy("k", "side", "token", "inst", "seed").agg(F.count(F.lit(1)).alias("m")), "links")
-    strong = links.where("seed").groupBy("k", "side", "token").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    links = links.join(strong.select("k", "side", "token"), ["k", "side", "token"])
+    side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(f"{c}_glued").alias("glued"), F.col(c).alias("token"))
+    links = mentions.select("k", "inst", "seed", F.explode(F.array(side("L", "left"), side("R", "right"))).alias("p")).select("k", "inst", "seed", "p.*").where("token != ''")
+    links = scratch.save(links.groupBy(*PATTERN, "inst", "seed").agg(F.count(F.lit(1)).alias("m")), "links")
     # only patterns that introduce some candidate can discover one
-    useful = links.where("not seed").select("k", "side", "token").distinct()
-    links = scratch.save(links.join(useful, ["k", "side", "token"]), "graph")
-    tokens = scratch.save(links.select("token").distinct(), "tokens")
-    # occurrences of those words in the whole corpus: words are counted before they meet the patterns
-    totals = scratch.save(docs_words.groupBy("token").agg(F.count(F.lit(1)).alias("n_all")).join(tokens, "token"), "totals")
-    graph = scratch.save(links.join(totals, "token", "left").withColumn("n_all", F.greatest(F.coalesce("n_all", F.lit(0)), F.col("m"))), "weighted")
+    strong = links.groupBy(*PATTERN).agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"), F.sum("m").alias("uses"))
+    strong = scratch.save(strong.where((F.col("seeds") >= support) & (F.col("others") > 0)).select(*PATTERN, "uses"), "patterns")
+    totals = scratch.save(occurrences(docs_words, strong), "totals")
+    strong = strong.join(totals, ["side", "glued", "token"], "left").select(*PATTERN, F.greatest(F.coalesce("n_all", F.lit(0)), "uses").alias("n_all"))
+    graph = scratch.save(links.join(strong, PATTERN), "weighted")
     scores = graph.select("k", "inst", "seed").distinct().withColumn("score", F.col("seed").cast("double"))
     for i in range(ITERATIONS):
         conf = (
             graph.join(scores, ["k", "inst", "seed"])
-            .groupBy("k", "side", "token")
+            .groupBy(*PATTERN)
             .agg((F.sum(F.col("m") * F.col("score")) / (F.max("n_all") + SMOOTH)).alias("conf"))
             .withColumn("conf", F.least("conf", F.lit(0.999)))
         )
         known = F.sum(F.log1p(-F.col("conf")))
-        heard = graph.join(conf, ["k", "side", "token"]).groupBy("k", "inst", "seed").agg((1 - F.exp(known)).alias("heard"), F.max("conf").alias("top"))
+        heard = graph.join(conf, PATTERN).groupBy("k", "inst", "seed").agg((1 - F.exp(known)).alias("heard"), F.max("conf").alias("top"))
         scores = scratch.save(heard.select("k", "inst", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("heard")).alias("score"), "top"), f"scores{i}").drop(*(["top"] if i + 1 < ITERATIONS else []))
     return scores.where(~F.col("seed") & (F.col("score") >= ACCEPT) & (F.col("top") >= STRONG)).select("k", "inst")
 

@@ -67,6 +67,16 @@ def test_a_telling_context_finds_unseen_identifiers_and_prose_does_not(spark):
     assert all(got[i].n_phone == 1 and got[i].spans.startswith("phone:") for i in range(30))
 
 
+def test_full_stops_and_commas_introduce_nothing(spark):
+    seeds = [(i, f"one may call +1 (2{i:02d}) 555-01{i:02d}. it is open. all is well. so it goes.", "en", 1) for i in range(30)]
+    commas = [(50 + i, f"reach +1 (3{i:02d}) 555-01{i:02d}, or come, or write, or wait", "en", 1) for i in range(30)]
+    glued = [(200 + i, f"tel:+1 (4{i:02d}) 555-01{i:02d} w{i}", "en", 1) for i in range(30)]
+    odd = [(100, "on 2024-01-15. Then", "en", 1), (101, "by 2024-01-16, perhaps", "en", 1), (102, "tel:0221 555 7788 here", "en", 1)]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(seeds + commas + glued + odd, DOCS)).collect()}
+    assert got[100].spans == "" and got[101].spans == ""
+    assert got[102].spans == "phone:4:17" and got[102].n_found == 1
+
+
 def test_repeated_and_null_ids_stay_apart(spark):
     rows = [(None, "a@b.cd", "en", 1), (None, None, None, None), (1, "a@b.cd", "en", 1), (1, "a@b.cd", "en", 1)]
     assert sorted(r.n_email for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()) == [0, 1, 1, 1]
