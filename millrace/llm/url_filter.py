@@ -3,9 +3,11 @@
 Rules (host and path prefix; the longest that fits wins) label the URLs that they cover. Paths are
 counted per host by their segments' shapes, so that numbers and hashes are one segment at once.
 Level by level, from the root down, a node's rare children become a wildcard, and sibling branches
-merge when neither the kinds of segments below them nor their labelled block rates differ. A
-template is rejected when its smoothed share of blocked labels reaches ``purity``; a URL without a
-rule takes its template's verdict.
+merge when neither the kinds of segments below them nor their labelled block rates differ. A branch
+without labels joins the labelled group that it is like by a stricter bound, unless groups that it
+is like differ in their block rates. A template is rejected when its smoothed share of blocked labels
+reaches ``purity``; the more of it joined without labels, the stronger the smoothing. A URL without
+a rule takes its template's verdict.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; without any labels
 nothing is rejected; repeated rows and null page_ids are judged each by itself; an empty table
@@ -29,6 +31,7 @@ RARE = 0.02
 SMOOTH = 10.0
 PURITY = 0.9
 FAR = 0.2
+NEAR = 0.1
 Z = 1.96
 
 
@@ -89,13 +92,14 @@ def _kind(seg: Column) -> Column:
     )
 
 
-def _similar(a: dict, b: dict) -> bool:
-    """Total variation of the kinds below at most FAR, and labelled block rates that both sides
-    have and that a two-proportion test doesn't tell apart."""
+def _far(a: dict, b: dict) -> float:
+    """Total variation of the kinds below."""
     na, nb = sum(a["kinds"].values()), sum(b["kinds"].values())
-    far = sum(abs(a["kinds"].get(k, 0) / na - b["kinds"].get(k, 0) / nb) for k in {*a["kinds"], *b["kinds"]}) / 2
-    if far > FAR or not a["labelled"] or not b["labelled"]:
-        return False
+    return sum(abs(a["kinds"].get(k, 0) / na - b["kinds"].get(k, 0) / nb) for k in {*a["kinds"], *b["kinds"]}) / 2
+
+
+def _alike(a: dict, b: dict) -> bool:
+    """Labelled block rates that a two-proportion test doesn't tell apart."""
     pa, pb = a["blocked"] / a["labelled"], b["blocked"] / b["labelled"]
     p = (a["blocked"] + b["blocked"]) / (a["labelled"] + b["labelled"])
     spread = math.sqrt(p * (1 - p) * (1 / a["labelled"] + 1 / b["labelled"]))
@@ -111,9 +115,10 @@ def _merge_siblings(g: pd.DataFrame) -> pd.DataFrame:
         b["labelled"] += labelled
         b["blocked"] += blocked
     groups: list[tuple[list[str], dict]] = []
-    for child in sorted(branches):
+    bare = [c for c in sorted(branches) if not branches[c]["labelled"]]
+    for child in sorted({*branches} - {*bare}):
         for names, whole in groups:
-            if _similar(whole, branches[child]):
+            if _far(whole, branches[child]) <= FAR and _alike(whole, branches[child]):
                 names.append(child)
                 for k, n in branches[child]["kinds"].items():
                     whole["kinds"][k] = whole["kinds"].get(k, 0) + n
@@ -122,13 +127,24 @@ def _merge_siblings(g: pd.DataFrame) -> pd.DataFrame:
                 break
         else:
             groups.append(([child], {"kinds": dict(branches[child]["kinds"]), "labelled": branches[child]["labelled"], "blocked": branches[child]["blocked"]}))
-    rows = [(c, names[0] if len(names) == 1 else "{" + "|".join(names) + "}") for names, _ in groups for c in names]
-    return pd.DataFrame({"host": g["host"].iloc[0], "template": g["template"].iloc[0], "child": [r[0] for r in rows], "branch": [r[1] for r in rows]})
+    joined = [(names, [], whole) for names, whole in groups]
+    for child in bare:
+        near = sorted((far, i) for i, (_, _, whole) in enumerate(joined) if whole["labelled"] and (far := _far(whole, branches[child])) <= NEAR)
+        if near and all(_alike(joined[i][2], joined[k][2]) for _, i in near for _, k in near):
+            joined[near[0][1]][1].append(child)
+        else:
+            joined.append(([child], [], branches[child]))
+    rows = []
+    for names, guests, _ in joined:
+        every = sorted(names + guests)
+        rows += [(c, every[0] if len(every) == 1 else "{" + "|".join(every) + "}", c in guests) for c in every]
+    return pd.DataFrame({"host": g["host"].iloc[0], "template": g["template"].iloc[0], "child": [r[0] for r in rows], "branch": [r[1] for r in rows], "joins": [r[2] for r in rows]})
 
 
 def templates(labelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, segs, template, n, labelled, blocked) of counted paths (host, segs, n, labelled, blocked)."""
-    nodes = scratch.save(labelled.withColumn("template", F.lit("")), "paths")
+    """(host, segs, template, guest, n, labelled, blocked) of counted paths (host, segs, n, labelled,
+    blocked); guests have joined a labelled group without labels of their own."""
+    nodes = scratch.save(labelled.withColumn("template", F.lit("")).withColumn("guest", F.lit(False)), "paths")
     for d in range(DEPTH):
         here = nodes.withColumn("seg", F.get("segs", F.lit(d)))
         inner = here.where("seg IS NOT NULL")
@@ -139,10 +155,10 @@ def templates(labelled: DataFrame, scratch: Scratch) -> DataFrame:
         names = children.join(parents, ["host", "template"]).select("host", "template", "seg", F.when(rare, "*").otherwise(F.col("seg")).alias("child"))
         inner = inner.join(names, ["host", "template", "seg"])
         below = inner.groupBy("host", "template", "child", _kind(F.get("segs", F.lit(d + 1))).alias("kind")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        merged = below.groupBy("host", "template").applyInPandas(_merge_siblings, "host string, template string, child string, branch string")
-        inner = inner.join(merged, ["host", "template", "child"]).withColumn("template", F.concat("template", F.lit("/"), "branch"))
+        merged = below.groupBy("host", "template").applyInPandas(_merge_siblings, "host string, template string, child string, branch string, joins boolean")
+        inner = inner.join(merged, ["host", "template", "child"]).withColumn("template", F.concat("template", F.lit("/"), "branch")).withColumn("guest", F.col("guest") | F.col("joins"))
         done = here.where("seg IS NULL")
-        columns = ["host", "segs", "n", "labelled", "blocked", "template"]
+        columns = ["host", "segs", "n", "labelled", "blocked", "template", "guest"]
         new = scratch.save(inner.select(columns).unionByName(done.select(columns)), f"level{d}")
         scratch.drop(nodes)
         nodes = new
@@ -161,8 +177,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, purity
     )
     leaves = templates(counted, scratch)
     base = leaves.agg((F.coalesce(F.sum("blocked"), F.lit(0)) / F.greatest(F.coalesce(F.sum("labelled"), F.lit(0)), F.lit(1))).alias("p")).first()["p"]
-    stats = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    share = (F.col("b") + SMOOTH * F.lit(min(base, 0.5))) / (F.col("l") + SMOOTH)
+    stats = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum(F.when(F.col("guest"), F.col("n")).otherwise(0)).alias("guests"))
+    smooth = SMOOTH * (1 + F.col("guests") / F.greatest("l", F.lit(1)))
+    share = (F.col("b") + smooth * F.lit(min(base, 0.5))) / (F.col("l") + smooth)
     judged = leaves.select("host", "segs", "template").join(stats.select("host", "template", share.alias("blocked_share")), ["host", "template"])
     by_template = F.when(F.col("blocked_share") >= purity, "block").otherwise("allow")
     return seen.join(judged, ["host", "segs"], "left").select(

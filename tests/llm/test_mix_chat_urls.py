@@ -149,6 +149,19 @@ def test_pure_templates_are_rejected_and_numbers_generalise(spark):
     assert {r.template for r in got} == {"/x/*/<n>"} and {r.verdict for r in got} == {"block"}
 
 
+def test_sections_without_labels_join_what_they_are_like(spark):
+    R = url_filter.Rule
+    rules = (R("h.org", "/es/", "block"), R("h.org", "/fr/", "block"), R("k.org", "/es/", "block"), R("m.org", "/bad/", "block"), R("m.org", "/good/", "allow"))
+    many = lambda base, n, end="": [f"http://{base}/{k}{end}" for k in range(n)]
+    urls = many("h.org/es", 100) + many("h.org/fr", 100) + many("h.org/en", 150) + many("h.org/about", 3, "/who") + many("k.org/es", 7) + many("k.org/en", 20)
+    urls += many("m.org/bad", 300) + many("m.org/good", 300) + many("m.org/other", 50)
+    got = {r.host + r.path: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert {got[f"h.org/en/{k}"].verdict for k in range(150)} == {"block"} and got["h.org/en/1"].template == "/{about|en|es|fr}/<n>"
+    assert got["k.org/en/1"].verdict == "allow" and got["k.org/en/1"].template == "/{en|es}/<n>"
+    assert {got[f"m.org/other/{k}"].verdict for k in range(50)} == {"allow"} and got["m.org/other/1"].template == "/other/<n>"
+    assert {got[f"h.org/about/{k}/who"].verdict for k in range(3)} == {"allow"}
+
+
 # ------------------------------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
