@@ -1,8 +1,8 @@
 """Ordered-series primitives over (symbol, ts): windows, positions and discounted sums.
 
 Exponential averages are linear recurrences, so they are computed in blocks: a discounted sum
-inside each (symbol, block) by an ordinary running sum, then the carry of the blocks before. Every
-step is a built-in window; no series is collected, and a long series spreads over its blocks.
+inside each (symbol, block) by an ordinary running sum, then the end of the block before. Every
+step is a built-in window over the partitioning by symbol; no series is collected, nothing is joined.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 256
+#: Weights below SCALE are nothing; a block's weights stay under LARGEST, far from overflow.
+SCALE, LARGEST = 1e-40, 1e240
 
 
 def by_symbol(*keys: str, order: str = "ts") -> Window:
@@ -37,27 +38,31 @@ def with_pos(df: DataFrame, key: str = "symbol", order: str = "ts", name: str =
     return df.withColumn(name, (F.row_number().over(by_symbol(key, order=order)) - 1).cast("long"))
 
 
-def discounted(df: DataFrame, sums: dict[str, tuple[Column, float]], key: str = "symbol", pos: str = "pos", block: int = BLOCK) -> DataFrame:
-    """Adds, for each name: (x, q), the sum over j <= i of q**(i - j) * x_j; null x count as 0."""
-    block_no, at = F.expr(f"{pos} div {block}"), F.pmod(F.col(pos), F.lit(block)).cast("double")
+def discounted(df: DataFrame, sums: dict[str, tuple[Column, float]], key: str = "symbol", pos: str = "pos", block: int | None = None) -> DataFrame:
+    """Adds, for each name: (x, q), the sum over j <= i of q**(i - j) * x_j; null x count as 0.
+
+    ``pos`` counts a key's rows from 0. Blocks hold ``block`` rows or more: so many that what lies two
+    blocks back has lost its weight (q**rows is SCALE or less). A row needs its own block's running
+    sum and the end of the block before. Both are windows in the order (block, pos)
+    over one partitioning by key, so however many recurrences are chained, the input is read once.
+    """
+    decay = [-math.log(q) for _, q in sums.values() if 0 < q < 1]
+    least = max([block or 1, *(math.ceil(-math.log(SCALE) / d) for d in decay)])
+    if len(decay) > 1 and least * max(decay) > math.log(LARGEST):  # very unlike rates: each by itself
+        for name, what in sums.items():
+            df = discounted(df, {f"_own_{name}": what}, key, pos, block)
+        return df.withColumns({name: F.col(f"_own_{name}") for name in sums}).drop(*[f"_own_{name}" for name in sums])
+    at = F.col("_at")
     within = Window.partitionBy(key, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_blk", block_no).withColumn("_at", at)
-    for name, (x, q) in sums.items():
-        weighed = F.coalesce(x.cast("double"), F.lit(0.0)) * F.pow(F.lit(q), -F.col("_at"))
-        df = df.withColumn(f"_in_{name}", F.sum(weighed).over(within) * F.pow(F.lit(q), F.col("_at")))
-    last = Window.partitionBy(key).orderBy("_blk")
-    ends = df.groupBy(key, "_blk").agg(*[F.max_by(f"_in_{name}", pos).alias(f"_end_{name}") for name in sums])
-    for name, (_, q) in sums.items():
-        step = q**block
-        terms = max(1, math.ceil(math.log(1e-18) / math.log(step))) if step > 1e-18 else 1
-        carry = F.lit(0.0)
-        for t in range(1, terms + 1):
-            carry = carry + F.coalesce(F.lag(f"_end_{name}", t).over(last), F.lit(0.0)) * (step ** (t - 1))
-        ends = ends.withColumn(f"_carry_{name}", carry)
-    df = df.join(ends.select(key, "_blk", *[f"_carry_{name}" for name in sums]), [key, "_blk"])
-    for name, (_, q) in sums.items():
-        df = df.withColumn(name, F.col(f"_in_{name}") + F.col(f"_carry_{name}") * F.pow(F.lit(q), F.col("_at") + 1))
-    return df.drop("_blk", "_at", *[f"{p}{n}" for n in sums for p in ("_in_", "_carry_")])
+    before = Window.partitionBy(key).orderBy("_blk", pos).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_blk", F.expr(f"{pos} div {least}")).withColumn("_at", F.pmod(F.col(pos), F.lit(least)).cast("double"))
+    decays = {name: (F.coalesce(x.cast("double"), F.lit(0.0)), float(q)) for name, (x, q) in sums.items()}
+    inside = {f"_in_{name}": F.sum(x * F.pow(F.lit(q), -at)).over(within) * F.pow(F.lit(q), at) if q else x for name, (x, q) in decays.items()}
+    df = df.withColumns(inside)
+    ends = {f"_end_{name}": F.last(F.when(at == least - 1, F.col(f"_in_{name}")), ignorenulls=True).over(before) for name in sums}
+    df = df.withColumns(ends)
+    df = df.withColumns({name: F.col(f"_in_{name}") + F.coalesce(F.col(f"_end_{name}"), F.lit(0.0)) * F.pow(F.lit(q), at + 1) for name, (_, q) in decays.items()})
+    return df.drop("_blk", "_at", *inside, *ends)
 
 
 def ema(df: DataFrame, columns: dict[str, tuple[Column, float]], key: str = "symbol", pos: str = "pos", first: int = 0) -> DataFrame:

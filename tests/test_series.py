@@ -56,3 +56,19 @@ def test_ewm_deviation_skips_gaps(spark, walk):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="close"):
         I.compute(spark.createDataFrame([("a", 1)], "symbol string, ts int"))
+
+
+def test_all_features_read_the_bars_once(spark, walk, tmp_path):
+    spark.createDataFrame(walk).write.parquet(str(tmp_path / "bars"))
+    plan = I.compute(spark.read.parquet(str(tmp_path / "bars")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_unlike_rates_in_one_call(spark, walk):
+    from pyspark.sql import functions as F
+
+    df = S.discounted(S.with_pos(spark.createDataFrame(walk)), {"x": (F.col("close"), 0.999), "y": (F.col("close"), 0.01), "z": (F.col("close"), 0.0)})
+    c = walk[walk.symbol == "a"].close
+    np.testing.assert_allclose(series(df, "z"), c, rtol=1e-12)
+    for name, q in (("x", 0.999), ("y", 0.01)):
+        np.testing.assert_allclose(series(df, name), c.ewm(alpha=1 - q, adjust=True).mean().to_numpy() * ((1 - q ** np.arange(1, 901)) / (1 - q)), rtol=1e-10)
