@@ -2,7 +2,8 @@
 
 Rules (host and path prefix; the longest that fits wins) label the URLs that they cover. Paths are
 counted per host by their segments' shapes, so that numbers and hashes are one segment at once.
-Level by level, from the root down, a node's rare children become a wildcard, and sibling branches
+Level by level, from the root down to the deepest path, a node's rare children become a wildcard
+(those under RARE of its pages or, among few siblings, under twice their mean), and sibling branches
 merge when neither the kinds of segments below them nor their labelled block rates differ. A branch
 without labels joins the labelled group that it is like by a stricter bound, unless groups that it
 is like differ in their block rates. A template is rejected when its smoothed share of blocked labels
@@ -10,14 +11,16 @@ reaches ``purity``; the more of it joined without labels, the stronger the smoot
 a rule takes its template's verdict.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; without any labels
-nothing is rejected; repeated rows and null page_ids are judged each by itself; an empty table
-gives an empty result; other columns are ignored.
+nothing is rejected; repeated rows and null page_ids are judged each by itself; paths of any depth
+and length are read whole (a node with one path below it needs no further levels); equal shares of
+siblings are settled by name; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, on_workers
 
-DEPTH = 6
 FEW_CHILDREN = 20
 RARE = 0.02
 SMOOTH = 10.0
@@ -73,15 +75,14 @@ def rule_of(rules: tuple[Rule, ...]) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """At most DEPTH shapes: identifiers by kind, digits as <n>; what lies deeper is one <deep>."""
+    """A shape for each segment: identifiers by kind, digits as <n>."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    shape = F.transform(
+    return F.transform(
         parts,
         lambda s: F.when(s.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), "<uuid>")
         .when(s.rlike("^[0-9a-fA-F]{16,}$"), "<hex>")
         .otherwise(F.regexp_replace(s, "[0-9]+", "<n>")),
     )
-    return F.when(F.size(shape) > DEPTH, F.concat(F.slice(shape, 1, DEPTH - 1), F.array(F.lit("<deep>")))).otherwise(shape)
 
 
 def _kind(seg: Column) -> Column:
@@ -144,25 +145,33 @@ def _merge_siblings(g: pd.DataFrame) -> pd.DataFrame:
 def templates(labelled: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, segs, template, guest, n, labelled, blocked) of counted paths (host, segs, n, labelled,
     blocked); guests have joined a labelled group without labels of their own."""
+    columns = ["host", "segs", "n", "labelled", "blocked", "template", "guest"]
     nodes = scratch.save(labelled.withColumn("template", F.lit("")).withColumn("guest", F.lit(False)), "paths")
-    for d in range(DEPTH):
-        here = nodes.withColumn("seg", F.get("segs", F.lit(d)))
-        inner = here.where("seg IS NOT NULL")
+    settled, d = [], 0
+    while True:
+        # a node with a single path is a chain: its template is what is left of the path
+        paths = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("paths"))
+        rest = F.array_join(F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(0))), "/")
+        here = scratch.save(nodes.join(paths, ["host", "template"]).withColumn("done", (F.col("paths") == 1) | (F.size("segs") <= d)).drop("paths"), f"nodes{d}")
+        whole = F.when(F.size("segs") > d, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template"))
+        settled.append(here.where("done").withColumn("template", whole).select(columns))
+        scratch.drop(nodes)
+        inner = here.where("NOT done")
+        if inner.isEmpty():
+            break
+        inner = inner.withColumn("seg", F.get("segs", F.lit(d)))
         children = inner.groupBy("host", "template", "seg").agg(F.sum("n").alias("c"))
         # a node's children are counted first; a wildcard takes the rare ones
         parents = children.groupBy("host", "template").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kids"))
-        rare = (F.col("kids") > FEW_CHILDREN) & (F.col("c") < F.col("all") * RARE)
+        rare = (F.col("kids") > FEW_CHILDREN) & (F.col("c") < F.col("all") * F.greatest(F.lit(RARE), 2 / F.col("kids")))
         names = children.join(parents, ["host", "template"]).select("host", "template", "seg", F.when(rare, "*").otherwise(F.col("seg")).alias("child"))
         inner = inner.join(names, ["host", "template", "seg"])
         below = inner.groupBy("host", "template", "child", _kind(F.get("segs", F.lit(d + 1))).alias("kind")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
         merged = below.groupBy("host", "template").applyInPandas(_merge_siblings, "host string, template string, child string, branch string, joins boolean")
         inner = inner.join(merged, ["host", "template", "child"]).withColumn("template", F.concat("template", F.lit("/"), "branch")).withColumn("guest", F.col("guest") | F.col("joins"))
-        done = here.where("seg IS NULL")
-        columns = ["host", "segs", "n", "labelled", "blocked", "template", "guest"]
-        new = scratch.save(inner.select(columns).unionByName(done.select(columns)), f"level{d}")
-        scratch.drop(nodes)
-        nodes = new
-    return nodes
+        nodes = scratch.save(inner.select(columns), f"level{d}")
+        d += 1
+    return reduce(DataFrame.unionByName, settled)
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, purity: float = PURITY) -> DataFrame:

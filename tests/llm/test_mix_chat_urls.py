@@ -162,6 +162,32 @@ def test_sections_without_labels_join_what_they_are_like(spark):
     assert {got[f"h.org/about/{k}/who"].verdict for k in range(3)} == {"allow"}
 
 
+def test_deep_and_long_paths_are_read_whole(spark):
+    R = url_filter.Rule
+    deep = "/".join(["a"] * 12)
+    rules = (R("h.org", f"/{deep}/bad/", "block"), R("h.org", f"/{deep}/good/", "allow"), R("h.org", "/p/", "allow"))
+    urls = [f"http://h.org/{deep}/bad/x/{k}" for k in range(150)] + [f"http://h.org/{deep}/good/y-{k}/z" for k in range(150)]
+    urls += [f"http://h.org/p/{'s/' * 3000}end", f"http://h.org/p/{'w' * 50_000}", "http://h.org/other/" + "/".join(f"s{chr(97 + k)}" for k in range(20))]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(df, rules).collect()}
+    assert got[0].template != got[150].template and got[0].template.count("/") == 15
+    assert got[0].blocked_share > 0.9 > 0.2 > got[150].blocked_share
+    assert got[300].template.count("/") == 3002 and len(got[301].template) > 50_000 and got[302].template.count("/") == 21
+
+
+def test_repeated_and_null_pages_are_judged_each(spark):
+    rows = [(1, "http://net/es/1")] * 3 + [(None, "http://net/es/1"), (None, None)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted((str(r.page_id), str(r.rule)) for r in got) == [("1", "net/es/")] * 3 + [("None", "None"), ("None", "net/es/")]
+
+
+def test_few_even_siblings_become_a_wildcard(spark):
+    names = [f"{a}{b}q" for a in "abcdef" for b in "ghijk"]
+    urls = [f"http://h.org/s/{x}/{k}" for x in names for k in range(9)]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), (url_filter.Rule("h.org", "/s/a", "block"), url_filter.Rule("h.org", "/s/b", "block"))).collect()
+    assert {r.template for r in got} == {"/s/*/<n>"} and {r.verdict for r in got} == {"block"}
+
+
 # ------------------------------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
