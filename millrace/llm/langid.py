@@ -1,14 +1,16 @@
 """Language by compression: a text belongs to the language whose dictionary packs it smallest.
 
 Each language's zstandard raw-content dictionary holds slices of a bounded, hash-chosen sample of
-labelled documents (``docs_per_lang`` rows, ``slice_chars`` each; these bound what the driver
-fits). A text's letters are compressed whole, in pieces of ``piece_bytes``, so that the dictionary and not
+labelled documents (``docs_per_lang`` rows a language, ``slice_chars`` each; these alone bound what
+the driver fits). A text's letters are compressed whole, in pieces of ``piece_bytes``, so that the dictionary and not
 the text's own past decides. A narrow margin to the runner-up rejects the document: under NARROW of
 its size or, in short texts, under TIE_BYTES or TIE_SHARE, whichever is less.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, rejected; no labelled
 document at all: ``und`` throughout; null doc_id: predicted like any other, never learned from,
-not held out; empty table: empty result; other columns are ignored.
+not held out; repeated rows count once in the sample and are predicted each by itself; equal sizes
+go to the language that comes first by name, and are rejected; very long texts are compressed whole,
+piece by piece; empty table: empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import on_workers
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UND = "und"
 #: Lazy matching down to four bytes: short matches are what tells languages apart.
@@ -47,20 +50,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, docs_per_lang: int = 64, slice_chars: int = 2000) -> dict[str, bytes]:
-    """Dictionary content by language, from rows that are not held out and have lang and text."""
+    """Dictionary content by language, from ``docs_per_lang`` distinct rows (doc_id, text) of each that
+    are not held out, have lang, and a letter in the slice: those of the least hashes.
+
+    Languages are counted first, so that only rows whose hash is about that small are sorted; where
+    too few of them have letters, the bound is widened until they suffice or all have been looked at.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_per_lang)
-    ids = sorted({r["doc_id"] for r in chosen.collect()})
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    rank = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)  # from 0 to 1
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1) + 1
-    rows = usable.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select(
-        "lang", "doc_id", F.substring(F.col("text"), at.cast("int"), F.lit(slice_chars)).alias("part")
-    )
-    parts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.limit(20 * max(len(ids), 1)).collect() if ids else []:  # ids may repeat
-        if LETTER.search(r["part"]):
-            parts.setdefault(r["lang"], []).append((r["doc_id"], r["part"]))
-    return {lang: "\n".join(dict.fromkeys(letters_only(t) for _, t in sorted(found)[: 4 * docs_per_lang])).encode() for lang, found in sorted(parts.items())}
+    part = F.substring(F.col("text"), at.cast("int"), F.lit(slice_chars))
+    found: dict[str, list[str]] = {}
+    open_, share = dict(counts), {lang: min(1.0, 4 * docs_per_lang / n) for lang, n in counts.items()}
+    while open_:
+        below = F.lit(False)
+        for lang in sorted(open_):
+            below = below | ((F.col("lang") == lang) & (rank <= share[lang]))
+        rows = usable.where(below).select("lang", rank.alias("rank"), part.alias("part")).where(F.col("part").rlike(r"\p{L}"))
+        rows = rows.groupBy("lang", "rank").agg(F.min("part").alias("part"))
+        first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("_n") <= docs_per_lang)
+        chosen: dict[str, list[str]] = {}
+        for r in sorted(first.collect(), key=lambda r: (r["lang"], r["_n"])):
+            chosen.setdefault(r["lang"], []).append(r["part"])
+        for lang in list(open_):
+            if len(chosen.get(lang, [])) >= docs_per_lang or share[lang] >= 1:
+                found[lang] = chosen.get(lang, [])
+                del open_[lang]
+            share[lang] = min(1.0, 8 * share[lang])
+    return {lang: "\n".join(dict.fromkeys(letters_only(t) for t in parts)).encode() for lang, parts in sorted(found.items()) if parts}
 
 
 class Classifier:
