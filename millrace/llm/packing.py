@@ -14,15 +14,21 @@ Equal lengths are interchangeable, so the plan speaks of runs: pieces of length
 meet the runs in an equi-join on (length, block of ranks).
 
 Defined cases: null text is an empty text of one token; an empty table gives an empty result;
-repeated rows and null doc_ids are separate documents; other columns are ignored.
+repeated rows and null doc_ids are separate documents; very long texts are encoded whole and cut into
+pieces; which of several equal lengths takes which place is settled by hash, and rows equal in all
+columns are interchangeable; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -41,25 +47,39 @@ RANKS = 8192
 
 
 # ---------------------------------------------------------------------------------------- tokens
-class Encoder:
-    """Ids of a tokenizers JSON file; a byte-level BPE's ranks beside it give the same ids faster."""
+@dataclass(frozen=True)
+class Engine:
+    """What encodes a tokenizers JSON file, settled on the driver for the whole job.
+
+    ``ranks``: a byte-level BPE's ranks beside the file, which ``tiktoken`` turns into the ids of the
+    ``tokenizers`` library several times faster (tests compare every text of a table). Texts that hold
+    one of the file's added tokens (``special``) go through the library itself, as all do without
+    ranks. A worker that lacks a library or a file fails; it never falls back to another engine.
+    """
+
+    path: str
+    ranks: str | None
+    special: tuple[str, ...]
 
-    def __init__(self, path: str):
-        self.path = path
-        self._full = None
-        self._fast = None
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        try:
-            import base64
 
+def engine_of(path: str, fast: bool = True) -> Engine:
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    with open(path, encoding="utf-8") as f:
+        special = tuple(t["content"] for t in json.load(f)["added_tokens"])
+    return Engine(path, ranks if fast and os.path.exists(ranks) else None, special)
+
+
+class Encoder:
+    def __init__(self, engine: Engine):
+        self.path, self.special = engine.path, engine.special
+        self._full = self._fast = None
+        if engine.ranks:
             import tiktoken
             from public_tokenizers import PATTERN
 
-            with open(ranks, "rb") as lines:
+            with open(engine.ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self._fast = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        except (ImportError, OSError):
-            pass
 
     @property
     def full(self):
@@ -70,14 +90,14 @@ class Encoder:
         return self._full
 
     def __call__(self, text: str) -> np.ndarray:
-        if self._fast is not None and "<|" not in text:  # special tokens' strings are left to the full one
+        if self._fast is not None and not any(x in text for x in self.special):
             return np.array(self._fast.encode_ordinary(text), np.uint32)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(engine: Engine) -> Encoder:
+    return Encoder(engine)
 
 
 def default_tokenizer() -> str:
@@ -89,11 +109,11 @@ def default_tokenizer() -> str:
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian uint32) for every piece."""
     on_workers(docs.sparkSession)
-    path = tokenizer or default_tokenizer()
+    engine = engine_of(tokenizer or default_tokenizer())
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if keep_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(engine)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
