@@ -4,36 +4,30 @@ from __future__ import annotations
 
 import atexit
 import gc
-import os
 import uuid
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.workers import on_workers
+
+__all__ = ["SPACE", "WORD", "Scratch", "checkpoint_dir", "mix64", "n_buckets", "on_workers", "prefix_sum", "release_shuffles", "shingle_set", "word_hashes"]
+
 #: White space of the contracts, and a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
+LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir), or a local default where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local default serves a
+    local master only: on a cluster each machine would write its own disk, and later reads lack rows."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or DEFAULT_CHECKPOINT_DIR).rstrip("/")
-
-
-def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package from where the driver found it.
-
-    On a cluster the package is installed or sent with --py-files; then this changes nothing.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
 class Scratch:
