@@ -101,20 +101,28 @@ _HELD = {k: frozenset(v) for k, v in CLASSES.items()}
 
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end), sorted; code points, end exclusive."""
+    return scan_and_confirm(text)[0]
+
+
+def scan_and_confirm(text: str) -> tuple[list[tuple[int, int, int]], int]:
+    """The spans, and how many tokens that touch base spans have a secret's entropy as well."""
     spans = []
     if "=" in text or ":" in text:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base, at, reach = sorted(spans), 0, 0  # reach: where the base spans that begin so far end
+    base, at, reach, confirmed = sorted(spans), 0, 0, 0  # reach: where the base spans that begin so far end
     for m in CANDIDATE.finditer(text):
         while at < len(base) and base[at][0] < m.end():
             reach = max(reach, base[at][2])
             at += 1
-        if reach <= m.start() and is_secret(m[0]):
-            spans.append((m.start(), 3, m.end()))
-    return sorted(spans)
+        if is_secret(m[0]):
+            if reach <= m.start():
+                spans.append((m.start(), 3, m.end()))
+            else:
+                confirmed += 1
+    return sorted(spans), confirmed
 
 
 def _write(spans: list[tuple[int, int, int]]) -> str:
@@ -122,22 +130,22 @@ def _write(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy for every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy, n_confirmed for every document."""
     on_workers(docs.sparkSession)
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy", "n_confirmed"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                spans = scan(text.as_py() or "")
+                spans, confirmed = scan_and_confirm(text.as_py() or "")
                 base = [x for x in spans if x[1] < 3]
                 n = [sum(x[1] == k for x in spans) for k in range(4)]
-                rows.append((doc_id.as_py(), *n[:3], hashlib.sha256(_write(base).encode()).hexdigest(), _write(spans), n[3]))
+                rows.append((doc_id.as_py(), *n[:3], hashlib.sha256(_write(base).encode()).hexdigest(), _write(spans), n[3], confirmed))
             cols = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
+        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long, n_confirmed long"
     )

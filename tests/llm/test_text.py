@@ -129,6 +129,31 @@ def test_edited_texts_and_next_rows(spark, monkeypatch, per_range):
         assert 0 <= x.near_next <= 1 and (t != edited or x.near_edited == 1)
 
 
+@pytest.mark.parametrize("per_range", [2, 250])
+def test_ids_far_apart_and_equal(spark, monkeypatch, per_range):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", per_range)
+    r = random.Random(7)
+    ids = [-(2**63), 2**63 - 1, 0, 2**53, 2**53 + 1] + [r.randrange(-(2**63), 2**63) for _ in range(60)] + [7] * 300
+    texts = [f"text {k % 90} " * (k % 30) for k in range(len(ids))]
+    got = fingerprint.fingerprints(docs_of(spark, texts, ids)).collect()
+    assert sorted(x.doc_id for x in got) == sorted(ids)
+    order = sorted((i, t) for i, t in zip(ids, texts, strict=True) if i != 7)
+    by = {x.doc_id: x for x in got}
+    for (i, t), (j, after) in zip(order, order[1:] + order[:1], strict=True):
+        if not (i < 7 < j):
+            edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+            assert by[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
+def test_many_rows_of_one_id_and_a_long_text(spark):
+    texts = [f"row {k}" for k in range(10_000)] + ["word " * 200_000]
+    got = fingerprint.fingerprints(docs_of(spark, texts, [5] * 10_000 + [6])).collect()
+    assert len(got) == 10_001 and {x.doc_id for x in got} == {5, 6} and max(x.n_chars for x in got) == 1_000_000
+    ranges = fingerprint.Ranges([(None, 3), (5, -4), (5, 9), (8, 0)])
+    keys = [(False, 0, 2), (False, 0, 3), (True, 4, 0), (True, 5, -5), (True, 5, -4), (True, 5, 10), (True, 8, -1), (True, 8, 0), (True, 99, 0)]
+    assert ranges(*(np.array(x) for x in zip(*keys, strict=True))).tolist() == [0, 1, 1, 1, 2, 3, 3, 4, 4]
+
+
 def test_fingerprints_of_odd_tables(spark):
     one = fingerprint.fingerprints(docs_of(spark, ["alone"])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
