@@ -6,9 +6,10 @@ mask names the spans (start:end, code points, end exclusive) that carry loss: as
 Turns are compared and rendered as rows; a group is never larger than one conversation pair.
 
 Defined cases: null role is ``user``, null text is empty; turns without conv_id belong to no
-conversation and give no row; turns of equal number keep the order of role and text; a pair with
-one side only has an empty other completion and complete = false; empty table: empty result;
-other columns are ignored.
+conversation and give no row; turns of equal number (or without one, which come last) keep the order
+of role and text, and repeated rows are turns of their own; a pair with one side only has an empty
+other completion and complete = false; very long texts are rendered whole, and a pair, being one row
+of the result, is made by one task; empty table: empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,22 @@ def pair_by_parity(conversations: DataFrame) -> DataFrame:
     return c.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text")
 
 
+def pair_by_reply(conversations: DataFrame) -> DataFrame:
+    """Every conversation c is the chosen side of pair c. Its rejected side is what comes before its last
+    assistant turn, then the last assistant turn of its neighbour (2k and 2k + 1 are neighbours): a
+    reply that was written for another prompt. Without a neighbour's reply nothing follows."""
+    c = conversations.where("conv_id IS NOT NULL").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    key = F.struct(F.col("turn").isNull().alias("none"), "turn", "role", "text")
+    last = F.max(F.when(F.col("role") == TRAINED, key)).over(Window.partitionBy("conv_id"))
+    sides = F.when(F.col("last").isNull() | F.coalesce(key < F.col("last"), F.lit(False)), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
+    own = c.withColumn("last", last).select(F.col("conv_id").alias("pair_id"), F.explode(sides).alias("side"), "turn", "role", "text")
+    reply = c.where(F.col("role") == TRAINED).groupBy(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair_id")).agg(F.max(key).alias("last"))
+    reply = reply.join(c.select(F.col("conv_id").alias("pair_id")).distinct(), "pair_id", "left_semi")  # neighbours that have turns
+    return own.unionByName(reply.select("pair_id", F.lit("rejected").alias("side"), F.lit(None).cast("long").alias("turn"), F.col("last.role").alias("role"), F.col("last.text").alias("text")))
+
+
 def _joined(what: Column, order: str, separator: str = "") -> Column:
     rows = F.array_sort(F.collect_list(F.when(what.isNotNull(), F.struct(F.col(order).alias("o"), what.alias("x")))))
     return F.array_join(F.transform(rows, lambda r: r["x"]), separator)

@@ -29,7 +29,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(chat.pair_by_parity(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return chat.format_preferences(chat.pair_by_reply(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +77,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM n JOIN g USING (t)
     """,
     "op4_preferences": """
-        WITH t AS (
-            SELECT floor(conv_id / 2)::BIGINT AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
-                coalesce(role, 'user') AS role, coalesce(text, '') AS text
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'user'), coalesce(text, '')) AS i
             FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS d FROM c),
+        a AS (SELECT conv_id, max(d) AS d, arg_max(text, i) AS text FROM k WHERE role = 'assistant' GROUP BY conv_id),
+        t AS (
+            SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM c
+            UNION ALL SELECT k.conv_id, 'rejected', k.turn, k.role, k.text FROM k LEFT JOIN a USING (conv_id) WHERE a.d IS NULL OR k.d < a.d
+            UNION ALL SELECT o.conv_id, 'rejected', NULL, 'assistant', a.text FROM (SELECT DISTINCT conv_id FROM c) o JOIN a ON a.conv_id = xor(o.conv_id, 1)),
         n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS LAST, role, text) AS pos FROM t),
         s AS (SELECT pair_id, pos, count(*) = 2 AND count(DISTINCT (role, text)) = 1 AS same FROM n GROUP BY pair_id, pos),
         l AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) AS n_prompt_turns FROM s GROUP BY pair_id),

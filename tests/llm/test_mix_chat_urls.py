@@ -112,6 +112,34 @@ def test_equal_conversations_have_no_completions(spark):
     assert x.n_prompt_turns == 3 and x.chosen == x.rejected == "" and x.chosen_mask == ""
 
 
+def test_replies_of_neighbours_are_rejected_sides(spark):
+    turns = [(0, 0, "user", "q0"), (0, 1, "assistant", "a0"), (0, 2, "user", "r0"), (0, 3, "assistant", "b0"), (0, 4, "user", "thanks"), (1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (2, 0, "user", "alone"), (2, 1, "assistant", "yes"), (4, 0, "user", "no reply"), (5, 0, "assistant", "x"), (None, 0, "user", "lost")]
+    df = spark.createDataFrame([(*t, 7) for t in turns], "conv_id long, turn long, role string, text string, pos int")
+    r = {x.pair_id: x for x in chat.format_preferences(chat.pair_by_reply(df)).collect()}
+    assert set(r) == {0, 1, 2, 4, 5}
+    assert (r[0].n_prompt_turns, r[0].chosen, r[0].rejected) == (3, "<|assistant|>\nb0<|end|>\n<|user|>\nthanks<|end|>\n", "<|assistant|>\na1<|end|>\n")
+    assert (r[1].n_prompt_turns, r[1].chosen, r[1].rejected) == (1, "<|assistant|>\na1<|end|>\n", "<|assistant|>\nb0<|end|>\n")
+    assert (r[2].n_prompt_turns, r[2].rejected, r[2].complete) == (1, "", True)
+    assert (r[4].n_prompt_turns, r[4].chosen, r[4].rejected) == (1, "", "<|assistant|>\nx<|end|>\n")
+    assert (r[5].n_prompt_turns, r[5].complete) == (0, False)
+
+
+def test_pairs_of_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, pos int"
+    assert chat.format_preferences(chat.pair_by_reply(spark.createDataFrame([], schema))).count() == 0
+    long = "w " * 300_000
+    turns = [(0, 0, "user", long), (0, 0, "assistant", "b"), (0, 0, "assistant", "b"), (0, None, "user", None), (1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, None, "q")]
+    r = {x.pair_id: x for x in chat.format_preferences(chat.pair_by_reply(spark.createDataFrame([(*t, 1) for t in turns], schema))).collect()}
+    assert r[0].prompt == "" and r[0].chosen.count("<|end|>") == 4 and long in r[0].chosen and r[0].rejected == "" and not r[0].complete
+    assert r[1].n_prompt_turns == 3 and r[1].chosen == "" and r[1].rejected == "<|assistant|>\nb<|end|>\n"
+
+
+def test_pairs_of_the_table_share_prompts(spark):
+    x = chat.format_preferences(chat.pair_by_reply(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
+    n, prompts, complete = x.agg(F.count("*"), F.count_if(F.col("n_prompt_turns") > 0), F.count_if("complete")).first()
+    assert n == 100 and prompts >= 0.9 * n and complete == n
+
+
 # --------------------------------------------------------------------------------------------- urls
 def plain_rule(url):
     if url is None or "://" not in url:
