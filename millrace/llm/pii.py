@@ -1,22 +1,31 @@
 """Personal data by bootstrapped contextual extraction, on DataFrame functions only.
 
 Four base kinds are found by strict patterns and checks; they are the seeds. Looser shapes give
-candidates (numbers without the plus sign, addresses written with "(at)", masked cards ...). The
-words left and right of seeds and candidates are lexical patterns; a fragment that is glued to a
-span ("tel:", a full stop) is a pattern of its own kind. Patterns and instances form a bipartite
-graph: a pattern's confidence is the score of the instances that it introduces against all its
-occurrences in the corpus (a word as a whole word, a glued fragment as the start or the end of a
-longer word), an instance's score is the noisy-or of its patterns;
-seeds stay at 1. After ITERATIONS rounds, candidates with a score of at least ACCEPT through
-patterns of at least SUPPORT distinct seeds are identifiers, wherever they occur.
+candidates (numbers without the plus sign, addresses written with "(at)", masked cards ...). Texts are
+read as tokens: runs of letters, runs of digits (as zeros), single other signs. The one and the two
+tokens before and after a seed or a candidate are lexical patterns. Patterns and instances form a
+bipartite graph, scored in rounds: a pattern with at least SUPPORT distinct known instances has as
+confidence the score of these against all its other occurrences in the corpus (a candidate that is not
+known yet weighs UNKNOWN against it); a candidate's score is the
+noisy-or of its patterns of confidence STRONG and more; candidates that reach ACCEPT are known from
+then on, so that what they stand beside becomes a pattern in the next round. Rounds go on until none
+is new. An instance counts wherever it occurs.
+
+What bounds a shape is what its kind allows: 12 to 19 digits or masks of a card, 7 to 15 digits of a
+phone; runs are read whole and then counted. A token that reaches beyond CONTEXT code points from its
+span gives no pattern; it is never cut.
 
 Defined cases: null text is empty; a document without findings has empty lists, whose digest is
 that of the empty string; rows are told apart by a row id, so repeated or null doc_ids stay
-separate; an empty table gives an empty result; other columns are ignored.
+separate, and a repeated row counts as often as it occurs; of overlapping candidates the kind listed
+first stays, then the one that begins first; very long texts are read whole; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +34,15 @@ from millrace.llm.common import Scratch
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 SMOOTH = 2.0
+#: How much an occurrence before an unknown candidate weighs against a pattern; one before neither weighs 1.
+UNKNOWN = 0.25
 ACCEPT = 0.8
 STRONG = 0.5
-ITERATIONS = 3
 CONTEXT = 48
-PATTERN = ["k", "side", "glued", "token"]
+#: So many tokens are looked for by a set of hashes in the plan; more of them by a join.
+FEW_TOKENS = 10_000
+PATTERN = ["k", "side", "token"]
+TOKEN = r"[\p{L}\p{M}_]++|[0-9]++|[^\s\p{L}\p{M}0-9_]"
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Written without backtracking; each finds what the plain form finds.
@@ -42,11 +55,12 @@ BASE = {
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: What a text must hold before a base pattern is tried.
 NEEDS = {"email": "@", "ip": None, "card": None, "phone": "+"}
+_AT, _DOT = r"(?:@|\s?(?:\(at\)|\[at\]|\{at\})\s?)", r"(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?)"
 LOOSE = {
-    "email": rf"{_LOCAL}{{2,64}}\s?(?:@|\(at\)|\[at\]|\{{at\}})\s?[A-Za-z0-9-]{{2,63}}(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]{{2,63}}){{0,4}}",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}{{2,}}+{_AT}[A-Za-z0-9-]{{2,}}+(?:{_DOT}[A-Za-z0-9-]{{2,}}+)*+",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:[._-][0-9]{1,3}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){4,7})(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9Xx*])[0-9](?:[\x20-]?[0-9Xx*]){11,18}(?![0-9Xx*])",
-    "phone": r"(?<![0-9+])\(?[0-9][\x20().0-9-]{6,18}[0-9](?![0-9])",
+    "card": r"(?<![0-9Xx*])[0-9](?:[\x20-]?[0-9Xx*])++",
+    "phone": r"(?<![0-9+])\(?[0-9](?:[\x20().-]*+[0-9])++",
 }
 
 
@@ -76,6 +90,14 @@ def _holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _fits(kind: str, m: Column) -> Column:
+    if kind == "card":
+        return F.length(F.regexp_replace(m, "[^0-9Xx*]", "")).between(12, 19)
+    if kind == "phone":
+        return F.length(_digits(m)).between(7, 15)
+    return F.lit(True)
+
+
 _SPAN = "array<struct<k:int,s:int,e:int,t:string>>"
 
 
@@ -102,11 +124,20 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def loose_spans(text: Column, kind: str) -> Column:
-    return F.when(text.rlike(LOOSE[kind]), _spans(text, kind, LOOSE[kind])).otherwise(F.array().cast(_SPAN))
+    found = F.filter(_spans(text, kind, LOOSE[kind]), lambda x: _fits(kind, x["t"]))
+    return F.when(text.rlike(LOOSE[kind]), found).otherwise(F.array().cast(_SPAN))
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case tokens in order, digits as zeros; a space in front where white space was."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"\s+", " ")
+    return F.regexp_extract_all(plain, F.lit(rf" ?(?:{TOKEN})"), F.lit(0))
 
 
-def _token(x: Column) -> Column:
-    return F.regexp_replace(F.lower(x), "[0-9]", "0")
+def grams(found: Column) -> Column:
+    """Single tokens, and pairs of neighbours as they are written."""
+    pairs = F.zip_with(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.concat(F.ltrim(a), b))
+    return F.concat(F.transform(found, F.ltrim), pairs)
 
 
 def _mentions(text: Column, base: Column, loose: Column) -> Column:
@@ -115,13 +146,13 @@ def _mentions(text: Column, base: Column, loose: Column) -> Column:
     def mention(seed: bool):
         def make(x: Column) -> Column:
             lo = F.greatest(x["s"] - CONTEXT, F.lit(0))
-            left = F.substring(text, lo + 1, x["s"] - lo)
-            right = F.substring(text, x["e"] + 1, F.lit(CONTEXT))
+            left, right = tokens(F.substring(text, lo + 1, x["s"] - lo)), tokens(F.substring(text, x["e"] + 1, F.lit(CONTEXT)))
+            # what touches the far edge of its window may go on beyond it
+            left = F.slice(left, F.when(lo > 0, 2).otherwise(1), F.greatest(F.size(left), F.lit(1)))
+            right = F.slice(right, 1, F.greatest(F.size(right) - F.when(F.length(text) > x["e"] + CONTEXT, 1).otherwise(0), F.lit(0)))
             return F.struct(
                 x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["t"]).alias("inst"), F.lit(seed).alias("seed"),
-                _token(F.regexp_extract(left, r"(\S++)\s*$", 1)).alias("left"),
-                _token(F.regexp_extract(right, r"^\s*(\S+)", 1)).alias("right"),
-                left.rlike(r"\S\z").alias("left_glued"), right.rlike(r"^\S").alias("right_glued"),
+                F.slice(left, F.greatest(F.size(left) - 1, F.lit(1)), 2).alias("left"), F.slice(right, 1, 2).alias("right"),
             )
 
         return make
@@ -134,45 +165,48 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
-def occurrences(docs_words: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(side, glued, token, n_all): how often each pattern's text occurs in the form of its contexts."""
-    wanted = patterns.select("side", "glued", "token").distinct()
-    lengths = wanted.where("glued").select("side", F.length("token").alias("n")).distinct().collect()  # at most CONTEXT a side
-    whole = [F.struct(F.lit(s).alias("side"), F.lit(False).alias("glued"), F.col("token")) for s in "LR"]
-    part = lambda s, n: F.left("token", F.lit(n)) if s == "L" else F.right("token", F.lit(n))
-    ends = [
-        F.struct(F.lit(r["side"]).alias("side"), F.lit(True).alias("glued"), F.when(F.length("token") > r["n"], part(r["side"], r["n"])).alias("token"))
-        for r in sorted(lengths)
-    ]
-    # words are counted before they meet the patterns
-    words = docs_words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    forms = words.select("n", F.explode(F.array(*whole, *ends)).alias("p")).select("n", "p.*")
-    return forms.join(wanted, ["side", "glued", "token"]).groupBy("side", "glued", "token").agg(F.sum("n").alias("n_all"))
+def occurrences(texts: DataFrame, wanted: DataFrame, few: int = FEW_TOKENS) -> DataFrame:
+    """(token, n_all): how often each wanted token or pair of tokens occurs in the texts."""
+    words = texts.select(F.explode(grams(tokens(F.col("text")))).alias("token"))
+    some = [r["h"] for r in wanted.select(F.xxhash64("token").alias("h")).limit(few + 1).collect()]
+    if len(some) <= few:
+        words = words.where(F.xxhash64("token").isin(some))
+    counted = words.groupBy("token").agg(F.count(F.lit(1)).alias("n_all"))  # counted before they are joined
+    return counted.join(wanted, "token", "left_semi")
 
 
-def discover(docs_words: DataFrame, mentions: DataFrame, scratch: Scratch, support: int = SUPPORT) -> DataFrame:
+def discover(texts: DataFrame, mentions: DataFrame, scratch: Scratch, support: int = SUPPORT) -> DataFrame:
     """(k, inst) of the candidates that high-confidence patterns introduce."""
-    side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(f"{c}_glued").alias("glued"), F.col(c).alias("token"))
-    links = mentions.select("k", "inst", "seed", F.explode(F.array(side("L", "left"), side("R", "right"))).alias("p")).select("k", "inst", "seed", "p.*").where("token != ''")
+    one = lambda c, i: F.ltrim(F.try_element_at(c, F.lit(i)))
+    two = lambda c: F.when(F.size(c) == 2, F.concat(one(c, 1), c[1]))
+    left, right = F.col("left"), F.col("right")
+    sides = {"L": F.when(F.size(left) > 0, one(left, -1)), "LL": two(left), "R": F.when(F.size(right) > 0, one(right, 1)), "RR": two(right)}
+    near = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), t.alias("token")) for s, t in sides.items()]))
+    links = mentions.select("k", "inst", "seed", near.alias("p")).select("k", "inst", "seed", "p.*").where("token IS NOT NULL")
     links = scratch.save(links.groupBy(*PATTERN, "inst", "seed").agg(F.count(F.lit(1)).alias("m")), "links")
-    # only patterns that introduce some candidate can discover one
-    strong = links.groupBy(*PATTERN).agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"), F.sum("m").alias("uses"))
-    strong = scratch.save(strong.where((F.col("seeds") >= support) & (F.col("others") > 0)).select(*PATTERN, "uses"), "patterns")
-    totals = scratch.save(occurrences(docs_words, strong), "totals")
-    strong = strong.join(totals, ["side", "glued", "token"], "left").select(*PATTERN, F.greatest(F.coalesce("n_all", F.lit(0)), "uses").alias("n_all"))
-    graph = scratch.save(links.join(strong, PATTERN), "weighted")
-    scores = graph.select("k", "inst", "seed").distinct().withColumn("score", F.col("seed").cast("double"))
-    for i in range(ITERATIONS):
-        conf = (
-            graph.join(scores, ["k", "inst", "seed"])
-            .groupBy(*PATTERN)
-            .agg((F.sum(F.col("m") * F.col("score")) / (F.max("n_all") + SMOOTH)).alias("conf"))
-            .withColumn("conf", F.least("conf", F.lit(0.999)))
-        )
-        known = F.sum(F.log1p(-F.col("conf")))
-        heard = graph.join(conf, PATTERN).groupBy("k", "inst", "seed").agg((1 - F.exp(known)).alias("heard"), F.max("conf").alias("top"))
-        scores = scratch.save(heard.select("k", "inst", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("heard")).alias("score"), "top"), f"scores{i}").drop(*(["top"] if i + 1 < ITERATIONS else []))
-    return scores.where(~F.col("seed") & (F.col("score") >= ACCEPT) & (F.col("top") >= STRONG)).select("k", "inst")
+    known, n_known = links.where("false").select("k", "inst", F.lit(0.0).alias("score")), 0
+    totals = links.where("false").select("token", F.lit(0).cast("long").alias("n_all"))
+    counted: list[DataFrame] = []
+    while True:
+        now = links.join(known, ["k", "inst"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("score")))
+        admitted = now.groupBy(*PATTERN).agg(
+            F.count("score").alias("support"), F.count_if(~F.col("seed")).alias("others"), F.sum("m").alias("uses"),
+            F.sum(F.coalesce(F.col("m") * F.col("score"), F.lit(0.0))).alias("mass"), F.sum(F.when(F.col("score").isNull(), F.col("m")).otherwise(0)).alias("open"),
+        )
+        # only patterns that introduce some candidate can discover one
+        admitted = scratch.save(admitted.where((F.col("support") >= support) & (F.col("others") > 0)), "admitted")
+        new = admitted.select("token").distinct().join(totals, "token", "left_anti")
+        if not new.isEmpty():
+            counted.append(scratch.save(occurrences(texts, scratch.save(new, "wanted")), "totals"))
+            totals = reduce(DataFrame.unionByName, counted)
+        against = F.greatest(F.coalesce("n_all", F.lit(0)) - F.col("uses"), F.lit(0)) + UNKNOWN * F.col("open") + SMOOTH
+        strong = admitted.join(totals, "token", "left").select(*PATTERN, (F.col("mass") / (F.col("mass") + against)).alias("conf")).where(F.col("conf") >= STRONG)
+        heard = links.where("NOT seed").join(strong, PATTERN).groupBy("k", "inst").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score"))
+        known = scratch.save(heard.where(F.col("score") >= ACCEPT), "known")
+        n, before = known.count(), n_known
+        if n == before:  # what is known stays known, so equal counts are equal sets
+            return known.select("k", "inst")
+        n_known = n
 
 
 def find_pii(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -189,8 +223,7 @@ def find_pii(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     scanned = texts.withColumn("base", F.when(has, base).otherwise(F.array().cast(_SPAN))).withColumn("loose", F.when(has, loose).otherwise(F.array().cast(_SPAN)))
     marks = scratch.save(scanned.select("rid", "doc_id", "base", _mentions(F.col("text"), F.col("base"), F.col("loose")).alias("mentions")), "marks")
     mentions = marks.select("rid", F.explode("mentions").alias("x")).select("rid", "x.*")
-    words = docs.select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), r"\s+")).alias("token"))
-    found = discover(words, mentions, scratch, support)
+    found = discover(docs.select("text").where("text IS NOT NULL"), mentions, scratch, support)
     new = mentions.where("not seed").join(found, ["k", "inst"]).groupBy("rid").agg(F.collect_list(F.struct("k", "s", "e", F.col("inst").alias("t"))).alias("new"))
     out = marks.drop("mentions").join(new, "rid", "left").withColumn("new", F.coalesce("new", F.array().cast(_SPAN)))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")

@@ -1,6 +1,7 @@
 """Base spans against plain regular expressions; discovery on a corpus with a telling context."""
 
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -81,3 +82,46 @@ def test_repeated_and_null_ids_stay_apart(spark):
     rows = [(None, "a@b.cd", "en", 1), (None, None, None, None), (1, "a@b.cd", "en", 1), (1, "a@b.cd", "en", 1)]
     assert sorted(r.n_email for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()) == [0, 1, 1, 1]
     assert pii.find_pii(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_planted_identifiers_are_found_with_precision(spark):
+    r = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    texts, planted, decoys = [], {}, 0
+    for i in range(600):
+        number = f"{r.randrange(10)}{r.randrange(100, 1000)} {r.randrange(100, 1000)} {r.randrange(1000, 10000)}"
+        lead = r.choice(["call mobile no", "ring hotline :", "fax me at"])
+        what = r.randrange(4)
+        if what == 0:  # a seed
+            texts.append(f"{prose(9)} {lead} +1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)} {prose(6)}")
+        elif what == 1:  # the same contexts, another form
+            head = f"{prose(7)} {lead} "
+            planted[i] = f"phone:{len(head)}:{len(head) + len(number)}"
+            texts.append(f"{head}{number} {prose(5)}")
+        else:  # numbers of other kinds among prose
+            decoys += 1
+            texts.append(f"{prose(8)} {number if what == 2 else r.randrange(10**7, 10**9)} {prose(8)}")
+    got = {x.doc_id: x for x in pii.find_pii(spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(texts)], DOCS)).collect()}
+    hits = sum(got[i].spans == s for i, s in planted.items())
+    wrong = sum(x.n_found for i, x in got.items() if i not in planted)
+    assert hits >= 0.95 * len(planted) and wrong <= 0.02 * hits, (hits, len(planted), wrong, decoys)
+
+
+def test_what_is_found_teaches_further_contexts(spark):
+    rows = [(i, f"dial mobile no +1 (2{i:02d}) 555-01{i:02d} now w{i}", "en", 1) for i in range(40)]
+    both = [f"02{k}1 555 77{k}{k}" for k in range(8)]
+    rows += [(100 + k, f"dial mobile no {x} now v{k}", "en", 1) for k, x in enumerate(both)]
+    rows += [(200 + k, f"u{k} durchwahl buero {x} bitte anrufen", "en", 1) for k, x in enumerate(both)]
+    rows += [(300, "a durchwahl buero 0999 123 4567 bitte anrufen", "en", 1)]
+    got = {x.doc_id: x for x in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[200 + k].n_found == 1 for k in range(8)) and got[300].spans == "phone:18:31"
+
+
+def test_long_neighbours_give_no_pattern_and_long_texts_are_read(spark):
+    end = "x" * 40
+    rows = [(i, f"{chr(97 + i % 26) * 70}{end} +1 (2{i:02d}) 555-01{i:02d} {end}{chr(97 + i % 26) * 70}", "en", 1) for i in range(30)]
+    rows += [(100, f"{'z' * 100}{end} 0221 555 7788 {end}{'y' * 100}", "en", 1), (101, "word " * 300_000 + "a@b.cd", "en", 1)]
+    rows += [(102, "".join(f"a{k}@b.cd,{k % 256}.1.1.1;" for k in range(3000)), "en", 1)]
+    got = {x.doc_id: x for x in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[100].spans == "" and got[101].spans == "email:1500000:1500006" and (got[102].n_email, got[102].n_ip) == (3000, 3000)
