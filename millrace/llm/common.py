@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.workers import on_workers
 
-__all__ = ["SPACE", "WORD", "Scratch", "checkpoint_dir", "mix64", "n_buckets", "on_workers", "prefix_sum", "release_shuffles", "shingle_set", "word_hashes"]
+__all__ = ["SPACE", "WORD", "Scratch", "checkpoint_dir", "joined", "mix64", "n_buckets", "on_workers", "prefix_sum", "release_shuffles", "shingle_set", "word_hashes"]
 
 #: White space of the contracts, and a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -92,6 +92,26 @@ def prefix_sum(df: DataFrame, keys: list[str], bucket: Column, order: list, valu
     )
 
 
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, scratch: Scratch, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key) on ``keys``, which are never null.
+
+    A key with more rows than an even share of a shuffle partition is dealt out by the hash of column
+    ``spread`` into parts of about that share; the table's row goes to each part. Such keys are never
+    more than there are partitions, which bounds what is broadcast. ``sizes`` (keys, n) saves the count.
+    """
+    if sizes is None:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = scratch.save(sizes.select(*keys, "n"), "sizes")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // parts))
+    hot = scratch.save(sizes.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_parts")), "hot")
+    scratch.drop(sizes)
+    few = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(spread), few).cast("int")).drop("_parts")
+    copies = table.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), few - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 def n_buckets(rows: int, per_bucket: int = 20_000, least: int = 64) -> int:
     """Buckets that keep a group of all ``rows`` at about ``per_bucket`` rows each."""
     return max(least, -(-rows // per_bucket))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, near_dedup
-from millrace.llm.common import Scratch, shingle_set, word_hashes
+from millrace.llm.common import Scratch, joined, shingle_set, word_hashes
 from millrace.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, bands int, cid int"
@@ -48,6 +48,33 @@ def test_exact_rows_without_or_with_equal_ids(spark):
     assert exact_dedup.dedup_batch(docs_of(spark, []), F.lit(True)).count() == 0
 
 
+def test_batches_read_a_stored_snapshot(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "snapshot")
+    old = docs_of(spark, ["a", "b", "b", "c c", None], [10, 11, 12, 13, None])
+    exact_dedup.write_snapshot(old, path)
+    files = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*") if f.is_file()}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        exact_dedup.write_snapshot(old, path)
+    monkeypatch.setattr(exact_dedup, "build_filters", None)  # nothing is built again
+    for texts, ids, want in (
+        (["b", "x", "x", "c\n c"], [1, 2, 3, 20], {1: (1, 3, True), 2: (2, 2, True), 3: (2, 2, False), 20: (13, 2, False)}),
+        (["", "y", "a"], [5, 6, 10], {5: (5, 2, True), 6: (6, 1, True), 10: (10, 2, False)}),
+        ([], [], {}),
+    ):
+        got = exact_dedup.dedup_incoming(docs_of(spark, texts, ids), exact_dedup.open_snapshot(spark, path), old).collect()
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want
+    assert {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*") if f.is_file()} == files
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_joins_deal_hot_keys_out(spark, how):
+    rows = spark.createDataFrame([(0 if i % 3 else i % 7, i) for i in range(600)], "k long, i long")
+    table = spark.createDataFrame([(k, k * 10) for k in (0, 1, 2, 3, 9)], "k long, v long")
+    got = joined(rows, table, ["k"], "i", Scratch(spark, "test"), how)
+    assert got.columns == rows.join(table, ["k"], how).columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(table, ["k"], how).collect()), key=str)
+
+
 def test_word_hashes_follow_the_words():
     words = "One two\tONE  été one Été".encode()
     h = word_hashes(words)
