@@ -2,21 +2,22 @@
 
 Documents with equal shingle sets form one class. A class has BANDS x ROWS MinHash values; bands
 deal classes into buckets. The values are also folded into a parity bitmap (an odd sketch): the
-population count of two bitmaps' XOR is at most twice the number of differing values, and near
-it, which screens a proposed pair in a few JVM operations. What passes is settled on the full
-sets. Buckets are never expanded into all pairs: every class first meets one head per bucket,
-links make components, and further rounds (with other heads) look only at buckets that still hold
-several components. Once few pairs are left, these are compared block by block, exactly, so that
-no pair that shares a bucket is left out, however large the bucket is; a block gives only links
-that still join something.
+population count of two bitmaps' XOR estimates their similarity, most precisely where it is high,
+which settles in a few JVM operations that most proposed pairs are none. What an estimate leaves
+possible is decided on the full sets. Buckets are never expanded into all pairs: every class first
+meets one head per bucket, links make components, and further rounds (with other heads) look only at
+buckets that still hold several components. Once few pairs are left, or after ROUNDS_OF_HEADS, these
+are compared block by block, exactly, so that no pair that shares a bucket is left out, however large
+the bucket is; a block gives only links that still join something. Keys with many rows are dealt out.
 
 A pair at a threshold of 0.85 shares no bucket with probability (1 - 0.85**4)**24 = 2e-8, at 0.8
-with 3e-6; it fails the screen with less than 1e-6.
+with 3e-6; its estimate is ruled out with less than 1e-6.
 
 Defined cases: null text, or text without words, is an empty set, linked with nothing, also not
 with copies of itself; rows equal in text are one class; null doc_ids come after all others (a
-component of such rows only has component_id null and keeps them); empty table: empty result;
-other columns are ignored.
+component of such rows only has component_id null and keeps them, but ``keep_one`` leaves one row of
+each); very long texts give their whole sets, and a pair's two sets meet in one task; empty table:
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, mix64, n_buckets, on_workers, prefix_sum, release_shuffles, shingle_set
+from millrace.llm.common import WORD, Scratch, joined, mix64, n_buckets, on_workers, prefix_sum, release_shuffles, shingle_set
 from millrace.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -39,6 +40,7 @@ BITS = 512
 DEVIATIONS = 5.5
 BLOCK = 512
 ROUNDS_OF_HEADS = 6
+MEETINGS_PER_TASK = 64
 
 _N = BANDS * ROWS
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, _N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,10 +48,21 @@ _SALTS = mix64(np.arange(1, _N + 1, dtype=np.uint64))
 _WORDS = [f"s{i}" for i in range(BITS // 64)]
 
 
-def most_differing(percent: int) -> int:
-    """How many of the MinHash values may differ in a pair that passes the screen."""
-    j = percent / 100
-    return math.ceil(_N * (1 - j) + DEVIATIONS * math.sqrt(_N * j * (1 - j)))
+def estimate(bits: float) -> float:
+    """The similarity that an odd sketch estimates: of 2 x differing values folded into BITS bits, so
+    many are expected to differ."""
+    return 1 + BITS / (4 * _N) * math.log(1 - 2 * bits / BITS) if 2 * bits < BITS else 0.0
+
+
+def deviation(j: float) -> float:
+    """Standard deviation of the estimate at similarity j: that of MinHash and that of the fold."""
+    return math.sqrt(j * (1 - j) / _N + BITS / 4 * (math.exp(8 * _N * (1 - j) / BITS) - 1) / (4 * _N * _N))
+
+
+def most_bits(percent: int) -> int:
+    """The differing bits of a pair whose estimate is DEVIATIONS standard deviations below the threshold."""
+    least = percent / 100 - DEVIATIONS * deviation(percent / 100)
+    return max(x for x in range(BITS // 2) if estimate(x) >= least)
 
 
 def minhashes(items: np.ndarray) -> np.ndarray:
@@ -123,18 +136,22 @@ def _differing(a: str, b: str) -> Column:
     return out
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, sets_of_u: DataFrame | None = None) -> DataFrame:
-    """The pairs (u, v) of classes that are links: sizes and sketches first, then full sets."""
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, sets_of_u: DataFrame | None = None) -> DataFrame:
+    """The pairs (u, v) of classes that are links: sizes and estimates first, then full sets. A u with
+    many partners is dealt out."""
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    pairs = scratch.save(pairs, "pairs")
     likely = (
-        pairs.join(side("u"), "u").join(side("v"), "v")
-        .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & (_differing("s_u", "s_v") <= 2 * most_differing(percent)))
+        joined(pairs, side("u"), ["u"], "v", scratch).join(side("v"), "v")
+        .where((F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent) & (_differing("s_u", "s_v") <= most_bits(percent)))
         .select("u", "v")
     )
+    likely = scratch.save(likely, "likely")
+    scratch.drop(pairs)
     items = lambda c: (sets if sets_of_u is None or c == "v" else sets_of_u).select(F.col("cid").alias(c), F.col("items").alias(f"i_{c}"))
     both = F.size(F.array_intersect("i_u", "i_v"))
     return (
-        likely.join(items("v"), "v").join(items("u"), "u")
+        joined(likely.join(items("v"), "v"), items("u"), ["u"], "v", scratch, sizes=likely.groupBy("u").agg(F.count(F.lit(1)).alias("n")))
         .select("u", "v", both.alias("both"), (F.size("i_u") + F.size("i_v")).alias("sum"))
         .where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
         .select("u", "v")
@@ -155,11 +172,12 @@ def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return scratch.save(moved.unionByName(new), "labels")
 
 
-def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_buckets(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (key, cid, comp) of the buckets of three or more classes that hold several components."""
     rows = buckets.where("n > 2").select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-    several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
-    return rows.join(several, "key", "left_semi")
+    rows = scratch.save(rows, "labelled")
+    several = scratch.save(rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("key", "n"), "several")
+    return joined(rows, several.select("key"), ["key"], "cid", scratch, "left_semi", several)
 
 
 def _columns(g: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -177,7 +195,7 @@ def _sides(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
 def _candidates(left: dict, right: dict, same: bool, key: int, percent: int) -> np.ndarray:
     """Which pairs of two blocks are across components, of like size and sketch, and meet in this
     bucket first (a pair that shares several bands is looked at once)."""
-    most = 2 * most_differing(percent)
+    most = most_bits(percent)
     out = np.zeros((len(left["cid"]), len(right["cid"])), bool)
     for i in range(len(out)):
         ok = (right["comp"] != left["comp"][i]) & (np.minimum(right["n"], left["n"][i]) * 100 >= np.maximum(right["n"], left["n"][i]) * percent)
@@ -235,7 +253,7 @@ def _spanning(us: np.ndarray, vs: np.ndarray) -> tuple[list[int], list[int]]:
     return out_u, out_v
 
 
-def _rest(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (u, v) that join all components joined by any pair that shares a bucket.
 
     A bucket's rows are numbered and cut into blocks; two blocks meet unless both lie in one and the
@@ -248,7 +266,7 @@ def _rest(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) ->
     spans = blocks.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     other = spans.select("key", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     meet = spans.join(other, "key").where((F.col("block") <= F.col("block2")) & ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))))
-    meet = meet.select("key", "block", "block2")
+    meet = scratch.save(meet.select("key", "block", "block2"), "meet")
     one = blocks.join(meet, ["key", "block"]).select("key", "block", "block2", "cid", "comp", F.lit(0).alias("side"))
     two = blocks.withColumnRenamed("block", "block2").join(meet.where("block != block2"), ["key", "block2"]).select("key", "block", "block2", "cid", "comp", F.lit(1).alias("side"))
     seen = classes.select("cid", "n_shingles", "bands", "sketch")
@@ -273,15 +291,16 @@ def _rest(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) ->
         return pd.DataFrame({"u": u, "v": v}, dtype=np.int64)
 
     group = ["key", "block", "block2"]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    # few bytes, much work: not to be coalesced
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-meet.count() // MEETINGS_PER_TASK))
     likely = one.unionByName(two).join(seen, "cid").repartition(parts, *group).groupBy(*group).applyInPandas(mark, "key long, block long, block2 long, cid long, comp long, side int")
     again = likely.join(seen, "cid").join(sets, "cid").repartition(parts, *group)
     return again.groupBy(*group).applyInPandas(settle, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash (xxHash64 of the text), n_shingles, component_id, kept for every document; a link is a pair whose sets of
-    ``width``-word shingles have 100 x intersection >= percent x union. percent is at least 80."""
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """rid, doc_id, text_hash, n_shingles, comp, component_id for every document (comp: a row id of the
+    component, null without words)."""
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 0.8 and more")
     spark = docs.sparkSession
@@ -289,12 +308,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     seen = scratch.save(sketched(docs, width), "sketched")
-    sets_of = seen.groupBy("lo", "hi").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"))
+    sets_of = seen.groupBy("lo", "hi").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    sets_of = scratch.save(sets_of, "sets_of")
     filled = seen.where("n_shingles > 0")
     classes = scratch.save(filled.join(sets_of, (filled["rid"] == sets_of["cid"])).select("cid", "least", filled["lo"], filled["hi"], "n_shingles", "bands", "sketch"), "classes")
     dealt = classes.select("cid", F.explode("bands").alias("key"))
     heads = dealt.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = scratch.save(dealt.join(heads, "key"), "buckets")
+    heads = scratch.save(heads, "heads")
+    buckets = scratch.save(joined(dealt, heads, ["key"], "cid", scratch, sizes=heads), "buckets")
 
     # full sets of every class that shares a bucket
     wanted = classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("cid", "least", "lo", "hi")
@@ -305,37 +326,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = scratch.save(sets, "sets")
 
     pairs = buckets.where("cid != head").select(F.col("head").alias("u"), F.col("cid").alias("v")).distinct()
-    labels = _merge(None, verified(pairs, classes, sets, percent), scratch)
+    labels = _merge(None, verified(pairs, classes, sets, percent, scratch), scratch)
     release_shuffles(spark)
     for k in range(ROUNDS_OF_HEADS + 1):
-        rows = scratch.save(_open_buckets(buckets, labels), "open")
+        rows = scratch.save(_open_buckets(buckets, labels, scratch), "open")
         by_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         left, n = by_comp.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
         if not n:
             break
         if left <= 2 * n or k == ROUNDS_OF_HEADS:  # few pairs are left: all of them, exactly
-            labels = _merge(labels, _rest(rows, classes, sets, percent), scratch)
+            labels = _merge(labels, _rest(rows, classes, sets, percent, scratch), scratch)
             break
         order = F.xxhash64(F.lit(k), "cid")
-        head = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("cid").alias("u"), F.col("comp").alias("c"))).alias("t"))
-        head = scratch.save(head.select("key", "t.u", "t.c"), "heads")
-        pairs = rows.join(head, "key").where("comp != c").select("u", F.col("cid").alias("v")).distinct()
+        head = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("cid").alias("u"), F.col("comp").alias("c"))).alias("t"), F.count(F.lit(1)).alias("n"))
+        head = scratch.save(head.select("key", "t.u", "t.c", "n"), "heads")
+        pairs = joined(rows, head.drop("n"), ["key"], "cid", scratch, sizes=head).where("comp != c").select("u", F.col("cid").alias("v")).distinct()
         # the heads of large buckets are few: stored by themselves, Spark knows whether they can be broadcast
         of_heads = scratch.save(sets.join(head.select(F.col("u").alias("cid")).distinct(), "cid", "left_semi"), "head_sets")
-        merged = _merge(labels, verified(pairs, classes, sets, percent, of_heads), scratch)
+        merged = _merge(labels, verified(pairs, classes, sets, percent, scratch, of_heads), scratch)
         scratch.drop(rows, head, of_heads, labels)
         labels = merged
         release_shuffles(spark)
 
     comp_of = classes.select("cid", "least").join(labels, "cid", "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
     named = comp_of.join(comp_of.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
-    by_set = classes.select("cid", "lo", "hi").join(named.select("cid", "component_id"), "cid").select("lo", "hi", "component_id")
-    found = seen.select("doc_id", "text_hash", "n_shingles", "lo", "hi").join(by_set, ["lo", "hi"], "left")
-    comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "text_hash", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    by_set = classes.select("cid", "lo", "hi").join(named.select("cid", "comp", "component_id"), "cid").select("lo", "hi", "comp", "component_id")
+    rows = seen.select("rid", "doc_id", "text_hash", "n_shingles", "lo", "hi")
+    found = joined(rows, scratch.save(by_set, "by_set"), ["lo", "hi"], "rid", scratch, "left", sets_of)
+    return found.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))).drop("lo", "hi")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; a link is a pair whose sets of
+    ``width``-word shingles have 100 x intersection >= percent x union. percent is at least 80."""
+    found = _components(docs, width, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The given rows, all columns, without near duplicates: one document of each component stays."""
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]) & (F.xxhash64(docs["text"]) == kept["_h"]), "left_semi")
+    """The given rows, all columns, without near duplicates. Of each component exactly one row stays, the
+    one of the least doc_id (null last); rows without words all stay."""
+    found = Scratch(docs.sparkSession, "keep").save(_components(docs, width, percent), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("t")
+    names = ["_id", "_null", "_hash"]
+    key = lambda d, h: [F.coalesce(d, F.lit(0)).alias("_id"), d.isNull().alias("_null"), h.alias("_hash")]
+    kept = found.where("comp IS NOT NULL").groupBy("comp").agg(first).select(*key(F.col("t.doc_id"), F.col("t.text_hash")))
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = docs.where(~wordless).select("*", *key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    # rows equal in doc_id and text can't be told apart by a join: folded where the join has put them
+    one = rows.join(kept, names, "left_semi").dropDuplicates(names).select(docs.columns)
+    return one.unionByName(docs.where(wordless))

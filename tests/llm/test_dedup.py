@@ -92,6 +92,25 @@ def test_odd_sketch_differs_by_at_most_two_bits_a_value():
     assert 0 < bits <= 2 * int((x != y).sum())
 
 
+def test_estimates_are_near_true_similarities():
+    rng = np.random.default_rng(4)
+    for share in (0.99, 0.95, 0.9, 0.85, 0.8, 0.7):
+        errors, bits = [], []
+        for _ in range(200):
+            n = int(800 * share)
+            a = rng.integers(0, 2**63, 800, dtype=np.uint64)
+            b = np.concatenate([a[:n], rng.integers(0, 2**63, 800 - n, dtype=np.uint64)])
+            x, y = (near_dedup.bands_and_sketch(near_dedup.minhashes(s))[1].view(np.uint64) for s in (a, b))
+            bits.append(int(np.bitwise_count(x ^ y).sum()))
+            errors.append(near_dedup.estimate(bits[-1]) - n / (1600 - n))
+        j = n / (1600 - n)
+        assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 1.2 * near_dedup.deviation(j)
+        if n / (1600 - n) >= 0.8:
+            assert max(bits) <= near_dedup.most_bits(80)
+    unlike = [int(np.bitwise_count(near_dedup.bands_and_sketch(near_dedup.minhashes(rng.integers(0, 2**63, 300, dtype=np.uint64)))[1].view(np.uint64) ^ near_dedup.bands_and_sketch(near_dedup.minhashes(rng.integers(0, 2**63, 300, dtype=np.uint64)))[1].view(np.uint64)).sum()) for _ in range(50)]
+    assert min(unlike) > near_dedup.most_bits(80) > near_dedup.most_bits(85)
+
+
 def brute(texts, ids, width, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -149,6 +168,13 @@ def test_near_without_ids_or_rows(spark):
     assert near_dedup.keep_one(docs_of(spark, ["a b c d e f", "a b c d e f", "q", None], [4, 3, 2, 1])).count() == 3
 
 
+def test_one_row_of_each_component_stays(spark):
+    texts = ["a b c d e f"] * 4 + ["q r s t u v w", "q r s t u v w", None, None, " ", "a b c d e f"]
+    ids = [None, None, 7, 7, None, None, None, None, 3, 9]
+    kept = near_dedup.keep_one(docs_of(spark, texts, ids)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("3", " "), ("7", "a b c d e f"), ("None", "None"), ("None", "None"), ("None", "q r s t u v w")]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5)] + [(2000, 2001), (2001, 2000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()}
