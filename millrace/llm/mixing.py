@@ -7,8 +7,9 @@ permutation of block indices (swap-or-not, a bijection on any range). Slots and
 equi-join on (source, block). DataFrame and SQL functions only.
 
 Defined cases: a null text has no words; a document without words takes none; a null source is a
-source of its own; repeated rows and repeated or null doc_ids are separate documents; an empty
-table gives an empty result; other columns are ignored.
+source of its own; repeated rows and repeated or null doc_ids are separate documents; ties of the
+order of documents are settled by id, text hash and row id; a very long text is counted whole and lies
+in many blocks; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -236,11 +237,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         runs.withColumn("_g", F.sum(gap.cast("int")).over(w))
         .groupBy("rid", "epoch", "size", "_g")
         .agg(F.min("word_from").alias("word_from"), F.sum("n_words").alias("n_words"))
-    )
-    text = F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(
-        F.regexp_replace(
-            F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0)), (F.col("word_from") + 1).cast("int"), F.col("n_words").cast("int")), ""),
-            f"^{SPACE}+", "",
-        )
+        .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("epoch", "word_from", "n_words"))).alias("runs"))  # at most a run a block and epoch
     )
-    return mix.documents.join(runs.drop("size"), "rid").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    # a text is cut into words once, whatever is taken of it, and not at all if it is taken whole
+    cut = F.when(F.exists("runs", lambda r: r["n_words"] != F.col("size")), F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    part = lambda words, r: F.regexp_replace(F.array_join(F.slice(words, (r["word_from"] + 1).cast("int"), r["n_words"].cast("int")), ""), f"^{SPACE}+", "")
+    texts = F.transform(F.array(cut), lambda words: F.transform("runs", lambda r: F.when(r["n_words"] == F.col("size"), F.col("text")).otherwise(part(words, r))))[0]
+    taken = mix.documents.join(runs, "rid").select("doc_id", F.explode(texts).alias("text"), "lang", "source")
+    return taken.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

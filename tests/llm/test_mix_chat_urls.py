@@ -87,6 +87,15 @@ def test_mixed_documents_give_the_taken_words(spark):
     assert {i: n for i, n in taken.items() if n} == dict(out)
 
 
+def test_a_long_text_is_mixed_whole(spark):
+    rows = [(0, " ".join(f"w{k}" for k in range(60_000)), "a"), (1, "a few words here", "b"), (2, None, "b")]
+    docs = docs_of(spark, rows)
+    taken = {r.doc_id: (r.size, r.taken, r.target) for r in mixing.taken_words(mixing.plan_mix(docs)).collect()}
+    assert taken[0][0] == 60_000 and abs(taken[0][1] - taken[0][2]) <= 1 and taken[0][1] > 60_000
+    out = [r.text for r in mixing.mixed_documents(docs).where("doc_id = 0").collect()]
+    assert sum(len(t.split()) for t in out) == taken[0][1] and rows[0][1] in out and all(t in rows[0][1] for t in out)
+
+
 def test_empty_mixes(spark):
     assert mixing.taken_words(mixing.plan_mix(docs_of(spark, []))).count() == 0
     got = mixing.taken_words(mixing.plan_mix(docs_of(spark, [(None, None, None), (None, None, None)]))).collect()
