@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -96,19 +97,21 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, scra
     """``rows`` joined to ``table`` (one row a key) on ``keys``, which are never null.
 
     A key with more rows than an even share of a shuffle partition is dealt out by the hash of column
-    ``spread`` into parts of about that share; the table's row goes to each part. Such keys are never
-    more than there are partitions, which bounds what is broadcast. ``sizes`` (keys, n) saves the count.
+    ``spread`` into parts of that share or less; the table's row goes to each part. Such keys are fewer
+    than partitions, so their hashes fit into the plan, and the copies are at most three times as many.
+    ``sizes`` (keys, n) saves the count.
     """
     if sizes is None:
         sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    sizes = scratch.save(sizes.select(*keys, "n"), "sizes")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // parts))
-    hot = scratch.save(sizes.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_parts")), "hot")
+    sizes = scratch.save(sizes.select(F.xxhash64(*keys).alias("h"), "n"), "sizes")
+    share = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot: dict[int, list[int]] = {}
+    for r in sizes.where(F.col("n") > share).collect():
+        hot.setdefault(1 << (-(-r["n"] // share) - 1).bit_length(), []).append(r["h"])
     scratch.drop(sizes)
-    few = F.coalesce("_parts", F.lit(1))
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(spread), few).cast("int")).drop("_parts")
-    copies = table.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), few - 1))).drop("_parts")
+    few = reduce(lambda e, p: F.when(F.xxhash64(*keys).isin(sorted(hot[p])), p).otherwise(e), sorted(hot), F.lit(1))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(spread), few).cast("int"))
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), few - 1)))
     return dealt.join(copies, [*keys, "_part"], how).drop("_part")
 
 

@@ -130,7 +130,7 @@ def loose_spans(text: Column, kind: str) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens in order, digits as zeros; a space in front where white space was."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"\s+", " ")
+    plain = F.translate(F.lower(text), "123456789\t\n\x0b\x0c\r", "000000000     ")
     return F.regexp_extract_all(plain, F.lit(rf" ?(?:{TOKEN})"), F.lit(0))
 
 
@@ -167,7 +167,9 @@ def _written(spans: Column) -> Column:
 
 def occurrences(texts: DataFrame, wanted: DataFrame, few: int = FEW_TOKENS) -> DataFrame:
     """(token, n_all): how often each wanted token or pair of tokens occurs in the texts."""
-    words = texts.select(F.explode(grams(tokens(F.col("text")))).alias("token"))
+    pairs = not wanted.where(F.col("token").rlike(rf"^(?:{TOKEN}) ?(?:{TOKEN})")).isEmpty()
+    found = tokens(F.col("text"))
+    words = texts.select(F.explode(grams(found) if pairs else F.transform(found, F.ltrim)).alias("token"))
     some = [r["h"] for r in wanted.select(F.xxhash64("token").alias("h")).limit(few + 1).collect()]
     if len(some) <= few:
         words = words.where(F.xxhash64("token").isin(some))
