@@ -18,22 +18,34 @@ ALIASES = {
     "60min": "1h", "60m": "1h", "h": "1h", "hour": "1h", "hourly": "1h", "d": "1d", "day": "1d", "daily": "1d", "1day": "1d",
     "w": "1wk", "1w": "1wk", "week": "1wk", "weekly": "1wk", "m": "1mo", "1month": "1mo", "month": "1mo", "monthly": "1mo",
 }
-NOMINAL_SECONDS = {"1min": 60, "5min": 300, "15min": 900, "30min": 1800, "1h": 3600, "1d": 86400, "1wk": 604800, "1mo": 2592000}
+#: Nominal spacing of the intervals, in seconds.
+NOMINAL_SECONDS = {"1min": 60.0, "5min": 300.0, "15min": 900.0, "30min": 1800.0, "1h": 3600.0, "1d": 86400.0, "1wk": 604800.0, "1mo": 2629800.0}
+
+_SPELLED = ALIASES | {k: k for k in PERIODS_PER_YEAR}
 
 
 def interval(name: str) -> str:
-    key = name.strip().lower()
-    key = ALIASES.get(key, key)
-    if key not in PERIODS_PER_YEAR:
-        raise ValueError(f"unknown interval {name!r}")
-    return key
+    """The interval that a spelling stands for."""
+    try:
+        return _SPELLED[name.strip().lower()]
+    except KeyError:
+        raise ValueError(f"unknown interval {name!r}") from None
+
+
+def spacing(seconds: Column) -> Column:
+    """The name of the interval that a spacing is nearest to, in proportion; the shorter of equals."""
+    near = [F.struct(F.abs(seconds / x - 1).alias("off"), F.lit(i).alias("i"), F.lit(k).alias("name")) for i, (k, x) in enumerate(NOMINAL_SECONDS.items())]
+    return F.array_min(F.array(*near))["name"]
 
 
-def infer_interval(bars: DataFrame) -> str | None:
-    """The interval nearest, in proportion, to the median spacing of the bars; None without spacings."""
+def infer_interval(bars: DataFrame) -> str:
+    """The interval nearest to the median spacing of the bars; an error without any spacing."""
     gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(S.by_symbol())
-    median = bars.select((gap / 1e6).alias("g")).where("g > 0").agg(F.median("g")).first()[0]
-    return None if median is None else min(NOMINAL_SECONDS, key=lambda k: abs(median / NOMINAL_SECONDS[k] - 1))
+    median = bars.select((gap / 1e6).alias("g")).where("g > 0").agg(F.median("g").alias("m"))
+    found = median.select(F.when(F.col("m").isNotNull(), spacing(F.col("m"))).alias("name")).first()["name"]
+    if found is None:
+        raise ValueError("no positive spacing between bars")
+    return found
 
 
 def resolve_periods(periods: int | None = None, name: str | None = None, bars: DataFrame | None = None) -> int:
@@ -88,6 +100,26 @@ def validation(bars: DataFrame) -> DataFrame:
     )
 
 
+def valid_only(bars: DataFrame) -> DataFrame:
+    """The bars of symbols without any broken rule or repeated timestamp; missing columns are an error."""
+    missing = [c for c in ("symbol", "ts", *PRICES) if c not in bars.columns]
+    if missing:
+        raise ValueError(f"bars lack columns: {', '.join(missing)}")
+    broken = validation(bars).where(" OR ".join(f"{c} > 0" for c in (*RULES.values(), "repeated_ts"))).select("symbol")
+    return bars.join(broken, "symbol", "left_anti")
+
+
+def check_features(df: DataFrame, features: list[str]) -> DataFrame:
+    """Per feature: its share of nulls. A missing column, or one that is null throughout, is an error."""
+    missing = [c for c in features if c not in df.columns]
+    if missing:
+        raise ValueError(f"features are missing: {', '.join(missing)}")
+    share = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in features])
+    return share.unpivot([], features, "feature", "null_share").withColumn(
+        "null_share", F.when(F.col("null_share") == 1, F.raise_error(F.concat(F.lit("no value at all of "), "feature")).cast("double")).otherwise(F.col("null_share"))
+    )
+
+
 # -------------------------------------------------------------------------------------- sessions
 def with_session(bars: DataFrame) -> DataFrame:
     """day (UTC), pos and n (in the symbol), bar (in the session), session_end (last pos of the session)."""
@@ -111,9 +143,14 @@ def is_intraday(bars: DataFrame) -> DataFrame:
     return same.groupBy("symbol").agg(F.coalesce(F.bool_or("same"), F.lit(False)).alias("intraday"))
 
 
-def resample(bars: DataFrame, minutes: int, session_aware: bool = True, drop_partial: bool = False, min_bars: int = 1) -> DataFrame:
+#: Minutes of the intervals that bars can be resampled to; a day is one session.
+MINUTES = {"1min": 1, "5min": 5, "15min": 15, "30min": 30, "1h": 60, "1d": 390}
+
+
+def resample(bars: DataFrame, minutes: int, session_aware: bool = True, full: int | None = None, min_bars: int = 1) -> DataFrame:
     """Bars of ``minutes``, labelled by their open. Session-aware bins count from the session's first
-    bar; a day is one bin of a session (minutes >= 390). Otherwise bins are floors of the clock."""
+    bar; a day is one bin of a session (minutes >= 390). Otherwise bins are floors of the clock. Other
+    numeric columns take their last value. ``full`` drops bins of fewer bars than that."""
     us = F.unix_micros("ts")
     width = minutes * 60_000_000
     if session_aware:
@@ -121,14 +158,22 @@ def resample(bars: DataFrame, minutes: int, session_aware: bool = True, drop_par
         at = first if minutes >= SESSION_MINUTES else first + F.floor((us - first) / width) * width
     else:
         at = F.floor(us / width) * width
-    out = bars.withColumn("_at", at.cast("long")).groupBy("symbol", "_at").agg(
-        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"),
-        F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n_bars"),
-    )
-    if drop_partial:
-        full = F.max("n_bars").over(Window.partitionBy("symbol"))
-        out = out.withColumn("_full", full).where("n_bars = _full").drop("_full")
-    return out.where(F.col("n_bars") >= min_bars).withColumn("ts", F.timestamp_micros("_at")).drop("_at")
+    how = {"open": F.min_by("open", "ts"), "high": F.max("high"), "low": F.min("low"), "close": F.max_by("close", "ts"), "volume": F.sum("volume")}
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    aggs = [how[c].alias(c) if c in how else F.max_by(c, "ts").alias(c) for c, t in bars.dtypes if c in how or (c not in ("symbol", "ts") and t.split("(")[0] in kinds)]
+    out = bars.withColumn("_at", at.cast("long")).groupBy("symbol", "_at").agg(*aggs, F.count(F.lit(1)).alias("n_bars"))
+    return out.where(F.col("n_bars") >= max(min_bars, full or 1)).withColumn("ts", F.timestamp_micros("_at")).drop("_at")
+
+
+def resample_to(bars: DataFrame, target: str, source: str = "1min", session_aware: bool = True, drop_partial: bool = False, min_bars: int = 1) -> DataFrame:
+    """Bars of a named interval from bars of a shorter one; the source's own are only numbered.
+    drop_partial leaves out bins that hold fewer bars than the target's interval has of the source's."""
+    name, source = interval(target), interval(source)
+    if name not in MINUTES:
+        raise ValueError(f"bars are resampled to {', '.join(MINUTES)}, not {name}")
+    if name == source:
+        return bars.withColumn("n_bars", F.lit(1).cast("long"))
+    return resample(bars, MINUTES[name], session_aware, bars_per_period(source, name) if drop_partial else None, min_bars)
 
 
 def bars_per_period(source: str, target: str) -> int:

@@ -74,22 +74,60 @@ def position_stats(df: DataFrame, position: str = "position", keys: tuple[str, .
     )
 
 
+CELLS = 4096
+
+
 def classification(df: DataFrame, label: str, prediction: str, score: str | None = None) -> DataFrame:
     """One row: confusion counts, accuracy, precision, recall, F1 and (with a score) rank AUC of 0/1 labels."""
     y, p = F.col(label) == 1, F.col(prediction) == 1
-    out = df.agg(
-        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn")
-    ).withColumn("accuracy", F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")))
-    out = out.withColumn("precision", F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)))
-    out = out.withColumn("recall", F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0)))
-    out = out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
+    counts = {"tp": y & p, "fp": ~y & p, "tn": ~y & ~p, "fn": y & ~p}
     if score:
-        # scores are counted first, so that the ordered window sees one row a distinct score
-        by = df.groupBy(score).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
-        below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        auc = by.select("_p", "_n", (F.col("_p") * (below + F.col("_n") / 2)).alias("u")).agg(F.try_divide(F.sum("u"), F.sum("_p") * F.sum("_n")).alias("auc"))
-        out = out.join(auc)
-    return out
+        # scores are counted first, then ranked inside cells of equal width and over the cells' totals
+        lo, hi = df.agg(F.min(score), F.max(score)).first()
+        cell = F.coalesce(F.floor((F.col(score) - F.lit(lo)) * (CELLS / ((hi - lo) or 1))), F.lit(-1)) if lo is not None else F.lit(-1)
+        by = df.groupBy(F.col(score).alias("_s"), cell.alias("_c")).agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
+        cells = by.groupBy("_c").agg(F.sum("_n").alias("_t"))
+        start = F.sum("_t").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+        by = by.join(cells.select("_c", F.coalesce(start, F.lit(0)).alias("_b")), "_c")
+        below = F.col("_b") + F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        by = by.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2))
+        out = by.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts], F.try_divide(F.sum("_u"), F.sum("_p") * F.sum("_n")).alias("auc"))
+    else:
+        out = df.agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    tp, fp, tn, fn = (F.col(n) for n in counts)
+    ratios = {"accuracy": F.try_divide(tp + tn, tp + fp + tn + fn), "precision": F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)), "recall": F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)), "f1": F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))}
+    return out.select(*counts, *[c.alias(n) for n, c in ratios.items()], *(["auc"] if score else []))
+
+
+def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(label, prediction, n) of any number of classes."""
+    return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def classification_weighted(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """One row for any number of classes: accuracy, and precision, recall and F1 averaged with the
+    classes' frequencies among the labels as weights; a class that is never predicted has precision 0."""
+    cells = confusion(df, label, prediction)
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    true = cells.groupBy(F.col("label").alias("c")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
+    guessed = cells.groupBy(F.col("prediction").alias("c")).agg(F.sum("n").alias("guessed"))
+    x = true.join(guessed, "c", "left")
+    precision, recall = F.coalesce(F.try_divide("tp", "guessed"), F.lit(0.0)), F.col("tp") / F.col("support")
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    mean = lambda v: F.try_divide(F.sum(v * F.col("support")), F.sum("support"))
+    return x.agg(F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"), mean(precision).alias("precision"), mean(recall).alias("recall"), mean(f1).alias("f1"))
+
+
+def summarize_returns(df: DataFrame, periods: int, risk_free: float = 0.0, keys: tuple[str, ...] = ("symbol",), ret: str = "ret") -> DataFrame:
+    """Per key: Sharpe, Sortino, drawdown, total and annual return of the non-null returns of a slice;
+    zeros with fewer than two. Equity starts at 1 before the slice's first return."""
+    x = df.where(F.col(ret).isNotNull()).withColumn("_r", F.col(ret)).withColumn("equity", F.product(1 + F.col(ret)).over(Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+    r, n = F.col("_r"), F.count(F.lit(1))
+    two = lambda c: F.when(n >= 2, c).otherwise(0.0)
+    return with_drawdown(x, keys=keys).groupBy(*keys).agg(
+        two(sharpe(r, periods, risk_free)).alias("sharpe"), two(sortino(r, periods, risk_free)).alias("sortino"), two(F.max("drawdown")).alias("max_drawdown"),
+        two(F.max_by("equity", "ts") - 1).alias("total_return"), two(F.avg(r) * periods).alias("ann_return"), n.alias("n"),
+    )
 
 
 def regression(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -50,6 +50,32 @@ def with_warm_up(df: DataFrame, high_water: DataFrame, rows: int, key: str = "sy
     return x.where(F.col("is_new") | (F.col("_old") <= rows)).drop("_old")
 
 
+def upsert_some(target: DataFrame, source: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
+    """The target after INSERT ... ON CONFLICT DO UPDATE SET of the columns ``updated`` only: a row that
+    is there keeps its other values, a new one comes whole. One row a key on either side."""
+    new = source.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in source.columns if c not in keys], F.lit(True).alias("_src"))
+    both = target.withColumn("_old", F.lit(True)).join(new, keys, "full")
+    pick = lambda c: F.when(F.col("_old").isNull() | (F.col("_src") & F.lit(c in updated)), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+    return both.select(*[F.col(c) if c in keys or c not in source.columns else pick(c) for c in target.columns])
+
+
+def keep_first(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """One row a key: the one with the least ``seq``."""
+    w = Window.partitionBy(*keys).orderBy(seq)
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def research_load(df: DataFrame, seq: str, edge: str | None = None) -> DataFrame:
+    """First arrival of each (symbol, ts) as doubles. A symbol's last day goes if it is ``edge`` or later:
+    a day that the stored history is known to break off in."""
+    x = keep_first(df, ["symbol", "ts"], seq)
+    x = x.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close", "volume") if c in x.columns})
+    if edge is None:
+        return x
+    day, last = F.to_date("ts"), F.max(F.to_date("ts")).over(Window.partitionBy("symbol"))
+    return x.withColumn("_last", last).where((F.col("_last") < F.lit(edge).cast("date")) | (day < F.col("_last"))).drop("_last")
+
+
 def high_water(df: DataFrame, key: str = "symbol", ts: str = "ts") -> DataFrame:
     return df.groupBy(key).agg(F.max(ts).alias("high_water"), F.count(F.lit(1)).alias("n_rows"))
 
@@ -74,7 +100,10 @@ def sequences(df: DataFrame, columns: list[str], length: int, stride: int = 1, t
     return x.where(keep).select("symbol", "ts", "pos", "window", *([F.col(target).alias("target")] if target else []))
 
 
-LEAKY = ("returns", "log_returns", "price_direction", "price_features_gap", "price_features_close_open_range", "price_features_high_low_range", "close", "high", "low")
+#: Columns that describe the bar a window already ends on.
+CONTEMPORANEOUS = ("open", "high", "low", "close", "volume", "adjusted_close", "returns", "log_returns", "price_direction")
+#: The engine's own features of the same kind.
+LEAKY = (*CONTEMPORANEOUS, "price_features_gap", "price_features_close_open_range", "price_features_high_low_range")
 
 
 def check_target(target: str, features: list[str]) -> None:

@@ -1,16 +1,23 @@
 """Backtests: fractional, exposure and whole-share simulators, cost and threshold sweeps.
 
 Equity paths are products over windows. Whole-share trading depends on its own cash, so it is a
-fold, but over a symbol's non-zero signals only; bars between take the last state. Sweeps explode
+fold, but over a symbol's non-zero signals only, in a stream that keeps one position; bars between
+take the last state. Sweeps explode
 a literal grid onto the rows: one job, partitioned by (grid point, symbol).
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions import series as S
+from millrace.functions.workers import on_workers
 
 
 def _path(m: Column, *keys: str) -> Column:
@@ -82,29 +89,49 @@ def whole_share(df: DataFrame, signal: str = "signal", capital: float = 10_000.0
     acted = F.coalesce(F.lag(signal, shift).over(S.by_symbol()), F.lit(0)) if shift else F.col(signal)
     x = S.with_pos(df).withColumn("_a", acted.cast("int"))
     price = F.col("open") if shift else F.col("close")
-    orders = x.where("_a != 0").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("_a").alias("a"), price.cast("double").alias("o"), "ts"))).alias("orders"))
-    state = "struct<cash:double,sh:bigint,ep:double,epos:bigint,ets:timestamp,log:array<struct<pos:bigint,cash:double,sh:bigint>>,trades:array<struct<entry_ts:timestamp,exit_ts:timestamp,entry_price:double,exit_price:double,shares:bigint,pnl:double,return_pct:double,holding_period:bigint>>>"
-    fold = f"""aggregate(orders, cast(named_struct('cash', {capital!r}D, 'sh', 0L, 'ep', 0D, 'epos', 0L, 'ets', cast(null as timestamp), 'log', array(), 'trades', array()) AS {state}),
-      (s, x) -> CASE
-        WHEN x.a > 0 AND s.sh = 0 AND s.cash >= x.o * {1 + slippage!r}D * {1 + commission!r}D THEN cast(named_struct(
-          'cash', s.cash - floor(s.cash / (x.o * {1 + slippage!r}D * {1 + commission!r}D)) * (x.o * {1 + slippage!r}D * {1 + commission!r}D),
-          'sh', floor(s.cash / (x.o * {1 + slippage!r}D * {1 + commission!r}D)), 'ep', x.o * {1 + slippage!r}D, 'epos', x.pos, 'ets', x.ts,
-          'log', concat(s.log, array(named_struct('pos', x.pos, 'cash', s.cash - floor(s.cash / (x.o * {1 + slippage!r}D * {1 + commission!r}D)) * (x.o * {1 + slippage!r}D * {1 + commission!r}D),
-             'sh', floor(s.cash / (x.o * {1 + slippage!r}D * {1 + commission!r}D))))), 'trades', s.trades) AS {state})
-        WHEN x.a < 0 AND s.sh > 0 THEN cast(named_struct(
-          'cash', s.cash + s.sh * x.o * {1 - slippage!r}D * {1 - commission!r}D, 'sh', 0L, 'ep', 0D, 'epos', 0L, 'ets', cast(null as timestamp),
-          'log', concat(s.log, array(named_struct('pos', x.pos, 'cash', s.cash + s.sh * x.o * {1 - slippage!r}D * {1 - commission!r}D, 'sh', 0L))),
-          'trades', concat(s.trades, array(named_struct('entry_ts', s.ets, 'exit_ts', x.ts, 'entry_price', s.ep, 'exit_price', x.o * {1 - slippage!r}D, 'shares', s.sh,
-             'pnl', round((x.o * {1 - slippage!r}D - s.ep) * s.sh - (s.ep + x.o * {1 - slippage!r}D) * s.sh * {commission!r}D, 2),
-             'return_pct', round(x.o * {1 - slippage!r}D / s.ep - 1, 6), 'holding_period', x.pos - s.epos)))) AS {state})
-        ELSE s END)"""
-    done = orders.select("symbol", F.expr(fold).alias("s"))
-    log = done.select("symbol", F.explode("s.log").alias("l")).select("symbol", "l.pos", "l.cash", "l.sh")
+    orders = x.where("_a != 0").select("symbol", "pos", F.col("_a").alias("a"), price.cast("double").alias("o"), "ts")
+    on_workers(df.sparkSession)
+    kinds = {"symbol": df.schema["symbol"].dataType, "ts": df.schema["ts"].dataType}
+    schema = T.StructType([
+        T.StructField("symbol", kinds["symbol"]), *[T.StructField(c, t) for c, t in (("pos", T.LongType()), ("cash", T.DoubleType()), ("sh", T.LongType()))],
+        *[T.StructField(c, t) for c, t in (("entry_ts", kinds["ts"]), ("exit_ts", kinds["ts"]), ("entry_price", T.DoubleType()), ("exit_price", T.DoubleType()), ("shares", T.LongType()), ("holding_period", T.LongType()))],
+    ])
+
+    def run(batches):
+        """A stream over ordered orders; the state is one position, and each change of it is a row."""
+        now, cash, sh, entry = object(), capital, 0, None
+        for b in batches:
+            changes = []
+            for i, (symbol, pos, a, o) in enumerate(zip(*[b.column(c).to_pylist() for c in ("symbol", "pos", "a", "o")], strict=True)):
+                if symbol != now:
+                    now, cash, sh, entry = symbol, capital, 0, None
+                if o is None:
+                    continue
+                buy, sell = o * (1 + slippage), o * (1 - slippage)
+                if a > 0 and sh == 0 and cash >= buy * (1 + commission):
+                    sh = math.floor(cash / (buy * (1 + commission)))
+                    cash -= sh * (buy * (1 + commission))
+                    entry = (b.column("ts")[i].as_py(), buy, pos)
+                    changes.append((symbol, pos, cash, sh, None, None, None, None, None, None))
+                elif a < 0 and sh > 0:
+                    cash += sh * o * (1 - slippage) * (1 - commission)
+                    changes.append((symbol, pos, cash, 0, entry[0], b.column("ts")[i].as_py(), entry[1], sell, sh, pos - entry[2]))
+                    sh, entry = 0, None
+            fields = to_arrow_schema(schema)
+            cols = zip(*changes, strict=True) if changes else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=fields)
+
+    done = orders.repartition("symbol").sortWithinPartitions("symbol", "pos").mapInArrow(run, schema)
+    log = done.select("symbol", "pos", "cash", "sh")
     bars = x.drop("_a").join(log, ["symbol", "pos"], "left")
     cash = F.coalesce(F.last("cash", ignorenulls=True).over(S.running()), F.lit(float(capital)))
     shares = F.coalesce(F.last("sh", ignorenulls=True).over(S.running()), F.lit(0))
     bars = bars.withColumn("cash", cash).withColumn("shares", shares.cast("long")).drop("sh", "pos").withColumn("equity", F.col("cash") + F.col("shares") * F.col("close"))
-    trades = done.select("symbol", F.explode("s.trades").alias("t")).select("symbol", "t.*")
+    fees = (F.col("entry_price") + F.col("exit_price")) * F.col("shares") * commission
+    trades = done.where("exit_ts IS NOT NULL").select(
+        "symbol", "entry_ts", "exit_ts", "entry_price", "exit_price", "shares", F.round((F.col("exit_price") - F.col("entry_price")) * F.col("shares") - fees, 2).alias("pnl"),
+        F.round(F.col("exit_price") / F.col("entry_price") - 1, 6).alias("return_pct"), "holding_period",
+    )
     return bars, trades
 
 

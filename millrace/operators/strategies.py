@@ -65,10 +65,10 @@ class MeanReversion(Strategy):
 def expanding_quantile(df: DataFrame, column: str, q: float, name: str, least: int = 1) -> DataFrame:
     """Exact linear quantile of all values so far in (symbol, ts) order, once there are ``least``.
 
-    Sorted insertion in a stream over the partition's ordered rows: linear reads, one sorted list of
-    the symbol in memory. The frame may hold nulls, which are skipped.
+    A stream over the partition's ordered rows with two heaps, one of the values below the quantile and
+    one of those above: a row costs the logarithm of those before it. Memory holds one symbol's values;
+    a symbol is one task, since each row depends on all before it. Nulls are skipped.
     """
-    import numpy as np
     import pyarrow as pa
 
     from millrace.functions.workers import on_workers
@@ -77,23 +77,27 @@ def expanding_quantile(df: DataFrame, column: str, q: float, name: str, least: i
     names = df.columns
 
     def run(batches):
-        from bisect import insort
+        from heapq import heappop, heappush, heappushpop
 
-        now, seen = object(), []
+        now, low, high = object(), [], []  # low: negated, its top is the value at the quantile's rank
         for b in batches:
             out = []
             for s, x in zip(b.column("symbol").to_pylist(), b.column(column).to_pylist(), strict=True):
                 if s != now:
-                    now, seen = s, []
+                    now, low, high = s, [], []
                 if x is not None:
-                    insort(seen, x)
-                if len(seen) < max(least, 1):
+                    heappush(high, -heappushpop(low, -x))
+                n = len(low) + len(high)
+                if n < max(least, 1):
                     out.append(None)
                     continue
-                at = q * (len(seen) - 1)
-                lo = int(np.floor(at))
-                a, c = seen[lo], seen[min(lo + 1, len(seen) - 1)]
-                out.append(a + (c - a) * (at - lo))
+                at = q * (n - 1)
+                while len(low) < int(at) + 1:
+                    heappush(low, -heappop(high))
+                while len(low) > int(at) + 1:
+                    heappush(high, -heappop(low))
+                a = -low[0]
+                out.append(a + (high[0] - a) * (at - int(at)) if high else a)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*names, name])
 
     from pyspark.sql import types as T
