@@ -40,16 +40,17 @@ def fixed_horizon(x: Column, threshold: float = 0.0, ternary: bool = False) -> C
 
 
 def triple_barrier(
-    bars: DataFrame, h: int, pt: float, sl: float, target: str, side: str | None = None, use_range: bool = False, vertical_zero: bool = False
+    bars: DataFrame, h: int, pt: float, sl: float, target: str, side: str | None = None, use_range: bool = False, vertical_zero: bool = False, across: bool = False
 ) -> DataFrame:
-    """Adds touch_pos, ret, label: which barrier is reached first within h bars of the session.
+    """Adds touch_pos, ret, label: which barrier is reached first within h bars of the session, or of the
+    series with ``across``.
 
     Barriers stand at pt and sl times ``target`` around the close (of the ``side`` taken); a tie is a
     profit. Without a touch the last bar in reach decides. Labels are signs, or 1/0 with a side.
     The forward window is an array of at most h bars, within (symbol, day).
     """
     x = B.with_session(bars)
-    ahead = Window.partitionBy("symbol", "day").orderBy("ts").rowsBetween(1, h)
+    ahead = Window.partitionBy("symbol", *([] if across else ["day"])).orderBy("ts").rowsBetween(1, h)
     sgn = F.col(side) if side else F.lit(1)
     up = F.col("high") if use_range else F.col("close")
     down = F.col("low") if use_range else F.col("close")

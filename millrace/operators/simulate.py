@@ -68,7 +68,7 @@ def exposure(
     return x.withColumn("equity", capital * _path(1 + F.col("ret"), *keys)).drop("_r")
 
 
-def positions(p: Column, mode: str = "binary", threshold: float = 0.5, short: bool = False, most: float = 1.0) -> Column:
+def positions(p: Column, mode: str = "binary", threshold: float | Column = 0.5, short: bool = False, most: float = 1.0) -> Column:
     """Probabilities to positions: binary, proportional or confidence; null stays null."""
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     if mode == "binary":

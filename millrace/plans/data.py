@@ -18,11 +18,11 @@ _TS = "symbol, epoch_us(ts) // 1000000 AS ts"
 _W = "PARTITION BY symbol ORDER BY ts"
 
 
-@query("""WITH d AS (SELECT event_type AS symbol, ts::DATE AS day, sum(value) AS value FROM events WHERE day(ts) % 4 <> 0 GROUP BY ALL),
+@query("""WITH d AS (SELECT event_type AS symbol, ts::DATE AS day, sum(value) AS value FROM events GROUP BY ALL),
 s AS (SELECT symbol, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY symbol)
 SELECT s.symbol, s.day::VARCHAR AS day, round(coalesce(d.value, 0), 4) AS value FROM s LEFT JOIN d ON d.symbol = s.symbol AND d.day = s.day""")
 def daily_spine(spark: SparkSession, sf: str) -> DataFrame:
-    x = T.read(spark, sf, "events").where("day(ts) % 4 <> 0").select(F.col("event_type").alias("symbol"), "ts", "value")
+    x = T.read(spark, sf, "events").select(F.col("event_type").alias("symbol"), "ts", "value")
     return shown(A.daily_spine(x, "value"), ["symbol", "day"], ["value"], 4)
 
 
@@ -35,7 +35,7 @@ def _net(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _closes(spark: SparkSession, sf: str) -> DataFrame:
-    return A.keep_last_day(T.bars_1d(spark, sf)).select("symbol", "day", "close", "volume")
+    return T.bars_1d(spark, sf).select("symbol", F.to_date("ts").alias("day"), "close", "volume")  # one bar a day already
 
 
 @query(f"""WITH {Q.B1D}, {_NET} SELECT symbol, (n.day + 1)::VARCHAR AS day, net, round(close, 8) AS close FROM n JOIN b ON b.ts::DATE = n.day + 1""")
@@ -103,18 +103,19 @@ def feature_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, max(o_orderstatus) FILTER (k = 2) AS o_orderstatus, round(CASE WHEN max(k) = 2 THEN max(o_totalprice) FILTER (k = 2) ELSE max(o_totalprice) END, 6) AS o_totalprice FROM (
-SELECT o_orderkey, NULL AS o_orderstatus, o_totalprice, 1 AS k FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice * 2, 2 FROM orders WHERE o_orderkey % 2 = 0) GROUP BY o_orderkey""")
+SELECT o_orderkey, NULL AS o_orderstatus, o_totalprice, 1 AS k FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice * 2, 2 FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 200000) GROUP BY o_orderkey""")
 def upsert_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     o = T.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    target = o.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.lit(None).cast("string"))
-    x = R.upsert(target, o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2), ["o_orderkey"])
+    target = o.where("o_orderstatus <> 'F'").withColumn("o_orderstatus", F.lit(None).cast("string"))
+    x = R.upsert(target, o.where("o_orderstatus = 'F' OR o_totalprice > 200000").withColumn("o_totalprice", F.col("o_totalprice") * 2), ["o_orderkey"])
     return shown(x, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
-@query("SELECT o_orderkey, round(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice ELSE -o_totalprice END, 6) AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, round(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice ELSE -o_totalprice END, 6) AS o_totalprice FROM orders")
 def insert_absent(spark: SparkSession, sf: str) -> DataFrame:
-    o = T.read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return shown(R.insert_absent(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", -F.col("o_totalprice")), ["o_orderkey"]), ["o_orderkey"], ["o_totalprice"])
+    o = T.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    target, source = o.where("o_orderstatus <> 'F'"), o.where("o_orderstatus = 'F' OR o_totalprice > 200000").withColumn("o_totalprice", -F.col("o_totalprice"))
+    return shown(R.insert_absent(target.drop("o_orderstatus"), source.drop("o_orderstatus"), ["o_orderkey"]), ["o_orderkey"], ["o_totalprice"])
 
 
 @query(f"WITH {Q.B1H}, hw AS (SELECT symbol, max(ts) AS h FROM b WHERE ts < TIMESTAMP '2024-01-20' AND symbol <> 'view' GROUP BY symbol) SELECT {_TS.replace('symbol', 'b.symbol', 1)}, round(close, 6) AS close FROM b LEFT JOIN hw ON hw.symbol = b.symbol WHERE h IS NULL OR ts > h")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import data, flights, learning, market, registered, trading
+from millrace.plans import composed, data, flights, learning, market, registered, trading
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = registered.QUERIES
 ORACLE_SQL: dict[str, str] = registered.ORACLE_SQL
 
-__all__ = ["ORACLE_SQL", "QUERIES", "data", "flights", "learning", "market", "trading"]
+__all__ = ["ORACLE_SQL", "QUERIES", "composed", "data", "flights", "learning", "market", "trading"]

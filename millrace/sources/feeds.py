@@ -2,7 +2,7 @@
 
 The transport is a callable (path, params) -> (status, headers, payload), so that the sources run
 without a network in tests; the default one uses urllib. Retries, rate limits and token refresh sit
-in ``Client``; each ticker or airport is one input partition.
+in ``Client``; each ticker, or airport, day and direction, is one input partition.
 """
 
 from __future__ import annotations
@@ -16,13 +16,31 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Transport = Callable[[str, dict], tuple[int, dict, object]]
 
 
+class TokenCache:
+    """A bearer token, asked for anew before it expires (``margin`` seconds early) or when told to."""
+
+    def __init__(self, ask: Callable[[], tuple[str, float]], margin: float = 60, clock=time.monotonic):
+        self.ask, self.margin, self.clock = ask, margin, clock
+        self._token, self._until = None, 0.0
+
+    def refresh(self) -> None:
+        self._token = None
+
+    @property
+    def token(self) -> str:
+        if self._token is None or self.clock() >= self._until - self.margin:
+            self._token, lasts = self.ask()
+            self._until = self.clock() + lasts
+        return self._token
+
+
 class QuotaError(RuntimeError):
     """The service asks for a longer pause than the client accepts."""
 
@@ -106,7 +124,9 @@ class BarsReader(DataSourceReader):
         return [_Part(t.strip(), i) for i, t in enumerate(self.options["tickers"].split(","))]
 
     def read(self, part):
-        client = Client(self.transport or http(self.options["url"]), int(self.options.get("per_minute", 8)))
+        # the allowance is the service's, not a ticker's: each reader takes an equal share of it
+        share = max(1, int(self.options.get("per_minute", 8)) // len(self.partitions()))
+        client = Client(self.transport or http(self.options["url"]), share)
         params = {"symbol": part.key, "interval": self.options.get("interval", "1min")}
         rows = backward_pages(lambda more: client.fetch("/time_series", params | more), int(self.options.get("page", 5000)))
         for n, r in enumerate(rows):
@@ -129,6 +149,58 @@ class BarsSource(DataSource):
         return BarsReader(dict(self.options), type(self).transport)
 
 
+class FlightsReader(DataSourceReader):
+    """One partition an airport, UTC day and direction. A part that fails is left out, but if all fail, or
+    the quota is gone, the read fails."""
+
+    def __init__(self, options: dict, transport: Transport | None):
+        self.options, self.transport = options, transport
+
+    def partitions(self):
+        days = day_bounds(datetime.fromisoformat(self.options["start"]).replace(tzinfo=UTC), datetime.fromisoformat(self.options["end"]).replace(tzinfo=UTC))
+        keys = [f"{a.strip().upper()} {d} {lo} {hi}" for a in self.options["airports"].split(",") for lo, hi in days for d in ("arrival", "departure")]
+        return [_Part(k, i) for i, k in enumerate(keys)]
+
+    def read(self, part):
+        airport, direction, begin, end = part.key.split()
+        share = max(1, int(self.options.get("per_minute", 60)) // max(1, len(self.partitions())))
+        client = Client(self.transport or http(self.options["url"]), share, retries=int(self.options.get("retries", 7)))
+        try:
+            found = client.fetch(f"/flights/{direction}", {"airport": airport, "begin": int(begin), "end": int(end)})
+        except QuotaError:
+            raise
+        except RuntimeError as e:
+            yield airport, direction, None, str(e)
+            return
+        for flight in found:
+            yield airport, direction, json.dumps(flight), None
+
+
+class FlightsSource(DataSource):
+    """spark.read.format("rest_flights"): airport, direction, value (JSON) and, for parts that failed, error."""
+
+    transport: Transport | None = None
+
+    @classmethod
+    def name(cls) -> str:
+        return "rest_flights"
+
+    def schema(self) -> str:
+        return "airport string, direction string, value string, error string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FlightsReader(dict(self.options), type(self).transport)
+
+
+def typed_flights(raw: DataFrame) -> DataFrame:
+    """The flights of ``rest_flights`` with types, both directions; fails if there are errors and nothing else."""
+    lost = raw.agg(F.count("error").alias("errors"), F.count("value").alias("found")).first()
+    if lost["errors"] and not lost["found"]:
+        raise RuntimeError(f"all {lost['errors']} requests failed")
+    parts = [flights_from_json(raw.where(F.col("direction") == d).select("airport", "value"), F.col("airport"), d) for d in ("arrival", "departure")]
+    return parts[0].unionByName(parts[1])
+
+
 def typed_bars(raw: DataFrame) -> DataFrame:
     """Numbers where they parse, UTC timestamps, adjusted_close = close; no negative price or volume."""
     x = raw.select("symbol", F.expr("try_cast(ts AS timestamp)").alias("ts"), *[F.expr(f"try_cast({c} AS double)").alias(c) for c in ("open", "high", "low", "close", "volume")], "seq")
@@ -158,12 +230,13 @@ FLIGHT_JSON = (
 )
 
 
-def flights_from_json(lines: DataFrame, airport: str, direction: str) -> DataFrame:
+def flights_from_json(lines: DataFrame, airport: str | Column, direction: str) -> DataFrame:
     """Typed flights of a column ``value`` of JSON objects; rows without icao24 or times are left out."""
-    x = lines.select(F.from_json("value", FLIGHT_JSON).alias("f")).select("f.*").where("icao24 IS NOT NULL AND firstSeen IS NOT NULL AND lastSeen IS NOT NULL")
+    airport = F.lit(airport) if isinstance(airport, str) else airport
+    x = lines.select(airport.alias("_airport"), F.from_json("value", FLIGHT_JSON).alias("f")).select("_airport", "f.*").where("icao24 IS NOT NULL AND firstSeen IS NOT NULL AND lastSeen IS NOT NULL")
     distance = "estArrivalAirportHorizDistance" if direction == "arrival" else "estDepartureAirportHorizDistance"
     return x.select(
-        F.lower(F.trim("icao24")).alias("icao24"), F.lit(direction).alias("direction"), F.lit(airport).alias("airport"), F.timestamp_seconds("firstSeen").alias("first_seen"),
+        F.lower(F.trim("icao24")).alias("icao24"), F.lit(direction).alias("direction"), F.col("_airport").alias("airport"), F.timestamp_seconds("firstSeen").alias("first_seen"),
         F.timestamp_seconds("lastSeen").alias("last_seen"), F.nullif(F.trim("callsign"), F.lit("")).alias("callsign"), F.col("estDepartureAirport").alias("dep_airport"),
         F.col("estArrivalAirport").alias("arr_airport"), F.col(distance).alias("distance"),
     )
