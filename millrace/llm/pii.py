@@ -24,6 +24,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -134,10 +135,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(rf" ?(?:{TOKEN})"), F.lit(0))
 
 
-def grams(found: Column) -> Column:
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def grams(text: Column) -> Column:
     """Single tokens, and pairs of neighbours as they are written."""
-    pairs = F.zip_with(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.concat(F.ltrim(a), b))
-    return F.concat(F.transform(found, F.ltrim), pairs)
+    pairs = lambda t, n: F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat(F.ltrim(a), b))
+    return _once(tokens(text), lambda t: F.concat(F.transform(t, F.ltrim), pairs(t, F.greatest(F.size(t) - 1, F.lit(0)))))
 
 
 def _mentions(text: Column, base: Column, loose: Column) -> Column:
@@ -146,13 +152,14 @@ def _mentions(text: Column, base: Column, loose: Column) -> Column:
     def mention(seed: bool):
         def make(x: Column) -> Column:
             lo = F.greatest(x["s"] - CONTEXT, F.lit(0))
-            left, right = tokens(F.substring(text, lo + 1, x["s"] - lo)), tokens(F.substring(text, x["e"] + 1, F.lit(CONTEXT)))
             # what touches the far edge of its window may go on beyond it
-            left = F.slice(left, F.when(lo > 0, 2).otherwise(1), F.greatest(F.size(left), F.lit(1)))
-            right = F.slice(right, 1, F.greatest(F.size(right) - F.when(F.length(text) > x["e"] + CONTEXT, 1).otherwise(0), F.lit(0)))
+            before = lambda t: F.slice(t, F.greatest(F.size(t) - 1, F.when(lo > 0, 2).otherwise(1)), 2)
+            after = lambda t: F.slice(t, 1, F.least(F.size(t) - F.when(F.length(text) > x["e"] + CONTEXT, 1).otherwise(0), F.lit(2)))
+            left = _once(tokens(F.substring(text, lo + 1, x["s"] - lo)), before)
+            right = _once(tokens(F.substring(text, x["e"] + 1, F.lit(CONTEXT))), lambda t: F.when(F.size(t) > 0, after(t)).otherwise(t))
             return F.struct(
                 x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["t"]).alias("inst"), F.lit(seed).alias("seed"),
-                F.slice(left, F.greatest(F.size(left) - 1, F.lit(1)), 2).alias("left"), F.slice(right, 1, 2).alias("right"),
+                left.alias("left"), right.alias("right"),
             )
 
         return make
@@ -167,9 +174,7 @@ def _written(spans: Column) -> Column:
 
 def occurrences(texts: DataFrame, wanted: DataFrame, few: int = FEW_TOKENS) -> DataFrame:
     """(token, n_all): how often each wanted token or pair of tokens occurs in the texts."""
-    pairs = not wanted.where(F.col("token").rlike(rf"^(?:{TOKEN}) ?(?:{TOKEN})")).isEmpty()
-    found = tokens(F.col("text"))
-    words = texts.select(F.explode(grams(found) if pairs else F.transform(found, F.ltrim)).alias("token"))
+    words = texts.select(F.explode(grams(F.col("text"))).alias("token"))
     some = [r["h"] for r in wanted.select(F.xxhash64("token").alias("h")).limit(few + 1).collect()]
     if len(some) <= few:
         words = words.where(F.xxhash64("token").isin(some))
