@@ -154,8 +154,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("r")  # one row a range: MOST_RANGES at most
     follow = F.coalesce(F.lead("r").over(order), F.min("r").over(Window.partitionBy(F.lit(0))))
     links = firsts.select(F.col("r").alias("into"), follow.alias("r")).join(firsts, "r").select("into", F.col("first.doc_id").alias("_d"), F.col("first.h").alias("h"))
+    links = scratch.save(links, "links")  # at most MOST_RANGES rows: small enough for every task
     texts = docs.withColumn("h", F.xxhash64("text"))
-    heads = texts.join(links, (texts["h"] == links["h"]) & texts["doc_id"].eqNullSafe(links["_d"])).groupBy("into").agg(F.first("doc_id").alias("doc_id"), F.first(texts["h"]).alias("h"), F.first("text").alias("text"))
+    heads = texts.join(F.broadcast(links), (texts["h"] == links["h"]) & texts["doc_id"].eqNullSafe(links["_d"])).groupBy("into").agg(F.first("doc_id").alias("doc_id"), F.first(texts["h"]).alias("h"), F.first("text").alias("text"))
     closing = heads.select(F.col("into").alias("r"), "doc_id", "h", "text", F.lit(1).alias("closing"))
     stream = texts.select(r, "doc_id", "h", "text", F.lit(0).alias("closing")).unionByName(closing)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_PER_TASK))
