@@ -42,7 +42,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._paths: list[str] = []
         atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -50,10 +50,21 @@ class Scratch:
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths.append(path)
         out._scratch_path = path
         return out
 
+    def mark(self) -> int:
+        return len(self._paths)
+
+    def drop_since(self, mark: int, *keep: DataFrame) -> None:
+        """Removes what has been saved since the mark, but for the tables to keep."""
+        kept = {t._scratch_path for t in keep}
+        for path in self._paths[mark:]:
+            if path not in kept:
+                self._remove(path)
+        self._paths[mark:] = [p for p in self._paths[mark:] if p in kept]
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._remove(t._scratch_path)

@@ -325,10 +325,13 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sets = full_sets(texts, width).join(wanted.select("cid", "lo", "hi"), ["lo", "hi"]).select("cid", "items").dropDuplicates(["cid"])
     sets = scratch.save(sets, "sets")
 
+    start = scratch.mark()
     pairs = buckets.where("cid != head").select(F.col("head").alias("u"), F.col("cid").alias("v")).distinct()
     labels = _merge(None, verified(pairs, classes, sets, percent, scratch), scratch)
+    scratch.drop_since(start, labels)
     release_shuffles(spark)
     for k in range(ROUNDS_OF_HEADS + 1):
+        start, before = scratch.mark(), labels
         rows = scratch.save(_open_buckets(buckets, labels, scratch), "open")
         by_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         left, n = by_comp.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
@@ -336,6 +339,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
             break
         if left <= 2 * n or k == ROUNDS_OF_HEADS:  # few pairs are left: all of them, exactly
             labels = _merge(labels, _rest(rows, classes, sets, percent, scratch), scratch)
+            scratch.drop_since(start, labels)
             break
         order = F.xxhash64(F.lit(k), "cid")
         head = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("cid").alias("u"), F.col("comp").alias("c"))).alias("t"), F.count(F.lit(1)).alias("n"))
@@ -343,11 +347,13 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         pairs = joined(rows, head.drop("n"), ["key"], "cid", scratch, sizes=head).where("comp != c").select("u", F.col("cid").alias("v")).distinct()
         # the heads of large buckets are few: stored by themselves, Spark knows whether they can be broadcast
         of_heads = scratch.save(sets.join(head.select(F.col("u").alias("cid")).distinct(), "cid", "left_semi"), "head_sets")
-        merged = _merge(labels, verified(pairs, classes, sets, percent, scratch, of_heads), scratch)
-        scratch.drop(rows, head, of_heads, labels)
-        labels = merged
+        labels = _merge(labels, verified(pairs, classes, sets, percent, scratch, of_heads), scratch)
+        scratch.drop(before)
+        scratch.drop_since(start, labels)
         release_shuffles(spark)
 
+    scratch.drop(sets, buckets)
+    release_shuffles(spark)
     comp_of = classes.select("cid", "least").join(labels, "cid", "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
     named = comp_of.join(comp_of.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
     by_set = classes.select("cid", "lo", "hi").join(named.select("cid", "comp", "component_id"), "cid").select("lo", "hi", "comp", "component_id")
