@@ -168,7 +168,28 @@ def describe(spark: SparkSession, sf: str) -> DataFrame:
     return shown(x, ["symbol"], ["n", "mean", "stddev", "low", "high"])
 
 
-@query()
+#: Both horizons at once: deviations, barriers, spans and folds by self joins of positions.
+_HS = "q.interval = p.interval AND q.symbol = p.symbol"
+_HW = "PARTITION BY interval, symbol ORDER BY ts"
+_HORIZONS = f"""iv AS (SELECT '1h' AS interval, symbol, ts, close, ts::DATE AS day FROM b UNION ALL SELECT '1d', symbol, min(ts), arg_max(close, ts), DATE '2000-01-01' FROM b GROUP BY symbol, ts::DATE),
+p AS (SELECT *, row_number() OVER ({_HW}) - 1 AS pos, count(*) OVER (PARTITION BY interval, symbol) AS n, CASE WHEN lag(day) OVER ({_HW}) = day THEN close / lag(close) OVER ({_HW}) - 1 END AS r, ln(close / lag(close) OVER ({_HW})) AS lr FROM iv),
+s AS (SELECT p.interval, p.symbol, p.pos, count(*) AS m, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * w) AS q FROM p JOIN LATERAL (SELECT pow(1 - 2::DOUBLE / 101, p.pos - q.pos) AS w, q.r AS x FROM p q WHERE {_HS} AND q.pos <= p.pos AND q.r IS NOT NULL) ON true GROUP BY ALL),
+v AS (SELECT interval, symbol, pos, 2 * sqrt(greatest((s2 / s0 - (s1 / s0) * (s1 / s0)) * s0 * s0 / (s0 * s0 - q), 0)) AS t FROM s WHERE m >= 25),
+j AS (SELECT p.interval, p.symbol, p.pos, v.t, q.pos AS qp, q.close / p.close - 1 AS g FROM p JOIN v USING (interval, symbol, pos) JOIN p q ON {_HS} AND q.day = p.day AND q.pos > p.pos AND q.pos <= p.pos + 20),
+h AS (SELECT interval, symbol, pos, any_value(t) AS t, min(qp) FILTER (g >= t) AS u, min(qp) FILTER (g <= -t) AS d, max(qp) AS last, arg_max(g, qp) AS g FROM j GROUP BY ALL),
+o AS (SELECT interval, symbol, pos, CASE WHEN u IS NOT NULL AND (d IS NULL OR u <= d) THEN u ELSE coalesce(d, last) END AS tp, CASE WHEN u IS NOT NULL AND (d IS NULL OR u <= d) THEN t WHEN d IS NOT NULL THEN -t ELSE g END AS ret FROM h),
+c AS (SELECT p.interval, p.symbol, p.pos, any_value(p.n) AS n, any_value(p.lr) AS lr, count(q.pos) AS c FROM p LEFT JOIN o q ON {_HS} AND q.pos <= p.pos AND q.tp >= p.pos GROUP BY ALL),
+un AS (SELECT p.interval, p.symbol, p.pos, avg(1.0::DOUBLE / q.c) AS u, abs(coalesce(sum(q.lr / q.c) FILTER (q.pos > p.pos), 0)) AS w FROM o p JOIN c q ON {_HS} AND q.pos BETWEEN p.pos AND p.tp GROUP BY ALL),
+cu AS (SELECT *, sum(u) OVER (PARTITION BY interval, symbol ORDER BY pos) AS k, sum(u) OVER (PARTITION BY interval, symbol) AS total FROM un),
+cw AS (SELECT *, w * greatest(0, 1 - 0.5::DOUBLE / total * (total - k)) AS x FROM cu),
+we AS (SELECT interval, symbol, count(*) AS n_labels, avg(u) AS uniqueness, sum(u) AS effective_size, sum(x) / avg(x) AS weight FROM cw GROUP BY ALL),
+bd AS (SELECT *, floor(n * f / 6::DOUBLE)::BIGINT AS lo, floor(n * (f + 1) / 6::DOUBLE)::BIGINT AS hi FROM c LEFT JOIN o USING (interval, symbol, pos), range(6) r(f)),
+fo AS (SELECT interval, symbol, count(*) FILTER (pos >= lo AND pos < hi) AS n_test, count(*) FILTER (NOT (pos >= lo AND pos < hi + floor(n * 0.01::DOUBLE)) AND NOT (pos < hi AND coalesce(tp, -1) >= lo)) AS n_train FROM bd GROUP BY ALL),
+al AS (SELECT interval, symbol, count(*) AS n_bars, avg((ret > 0)::INT) AS share_up, avg(c) AS concurrency FROM c LEFT JOIN o USING (interval, symbol, pos) GROUP BY ALL)"""
+
+
+@query(f"""WITH {Q.B1H}, {_HORIZONS} SELECT interval, symbol, n_bars, coalesce(n_labels, 0) AS n_labels, n_train, n_test, {Q.columns('share_up', 'concurrency', 'uniqueness', 'effective_size', 'weight')}
+FROM al JOIN fo USING (interval, symbol) LEFT JOIN we USING (interval, symbol)""")
 def multi_horizon(spark: SparkSession, sf: str) -> DataFrame:
     x = runs.multi_horizon(T.bars_1h(spark, sf), ("1h", "1d"), "1h", features=["returns", "rsi", "macd", "atr"])
     return shown(x, ["interval", "symbol"], ["n_bars", "n_labels", "share_up", "concurrency", "uniqueness", "effective_size", "weight", "n_train", "n_test"])
