@@ -21,21 +21,43 @@ def _labelled() -> Column:
     return F.coalesce(F.col("touch_pos") >= 0, F.lit(False))
 
 
+def _events(df: DataFrame, *events: Column) -> DataFrame:
+    """(symbol, at, kind, value, row) of each row's events: a series read once, ordered anew, no join."""
+    return df.select("symbol", F.explode(F.filter(F.array(*events), lambda e: e["at"].isNotNull())).alias("_e")).select("symbol", "_e.*")
+
+
+def _event(at: Column, kind: int, value: Column, row: Column) -> Column:
+    return F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"), value.alias("value"), row.alias("row"))
+
+
+def _packed(df: DataFrame, *without: str) -> tuple[Column, Column]:
+    """The columns beside symbol as a struct, and a null of its type."""
+    row = F.struct(*[c for c in df.columns if c not in ("symbol", *without)])
+    return row, F.when(F.lit(False), row)
+
+
 def concurrency(df: DataFrame) -> DataFrame:
     """Adds concurrency: how many label spans [pos, touch_pos] cover each row. Starts add one, the
     rows after ends take one away; a running sum does the rest."""
-    steps = df.where(_labelled()).select("symbol", F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("touch_pos") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("x"))
-    steps = steps.groupBy("symbol", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("_d"))
-    x = df.join(steps, ["symbol", "pos"], "left")
-    return x.withColumn("concurrency", F.coalesce(F.sum("_d").over(S.running(order="pos")), F.lit(0)).cast("long")).drop("_d")
+    row, none = _packed(df, "concurrency")
+    end = F.when(_labelled(), F.col("touch_pos") + 1)
+    x = _events(df, _event(F.col("pos"), 0, _labelled().cast("long"), row), _event(end, 0, F.lit(-1).cast("long"), none))
+    so_far = Window.partitionBy("symbol").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return x.withColumn("concurrency", F.sum("value").over(so_far)).where("row IS NOT NULL").select("symbol", "row.*", "concurrency")
 
 
 def _span_sum(df: DataFrame, value: Column, name: str, from_next: bool) -> DataFrame:
-    """Adds the sum of value over [pos (+1), touch_pos], by prefix sums at the span's two ends."""
+    """Adds the sum of value over [pos (+1), touch_pos], by prefix sums at the span's two ends. Rows go
+    to their span's end, where they meet its prefix sum; an end that is no row gives null."""
     x = df.withColumn("_v", F.coalesce(value, F.lit(0.0))).withColumn("_p", F.sum("_v").over(S.running(order="pos")))
-    ends = x.select("symbol", F.col("pos").alias("touch_pos"), F.col("_p").alias("_e"))
-    x = x.join(ends, ["symbol", "touch_pos"], "left")
-    return x.withColumn(name, F.when(_labelled(), F.col("_e") - F.col("_p") + (F.lit(0.0) if from_next else F.col("_v")))).drop("_v", "_p", "_e")
+    row, none = _packed(x, name)
+    prefix = F.struct(F.col("pos").cast("long").alias("pos"), F.col("_p").alias("p"))
+    end = F.when(_labelled(), F.col("touch_pos")).otherwise(F.col("pos"))
+    x = _events(x, _event(F.col("pos"), 0, prefix, none), _event(end, 1, F.when(F.lit(False), prefix), row))
+    x = x.withColumn("_e", F.last("value", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = x.where("row IS NOT NULL").select("symbol", "row.*", "_e")
+    met = _labelled() & (F.col("_e.pos") == F.col("touch_pos"))
+    return x.withColumn(name, F.when(met, F.col("_e.p") - F.col("_p") + (F.lit(0.0) if from_next else F.col("_v")))).drop("_v", "_p", "_e")
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
@@ -105,6 +127,14 @@ def purged_kfold(df: DataFrame, k: int = 5, embargo: float = 0.0, expanding: boo
     return x.select("symbol", "pos", "fold", role.alias("role")).where("role IS NOT NULL")
 
 
+def with_fold_counts(df: DataFrame, k: int = 5, embargo: float = 0.0) -> DataFrame:
+    """Adds n_train and n_test: in how many of the purged folds a row trains and tests. No rows are made."""
+    inside = lambda b: (F.col("pos") >= b["lo"]) & (F.col("pos") < b["hi"])
+    train = lambda b: _train(b["lo"], b["hi"], F.col("_n"), embargo) & ~inside(b)
+    x = _counted(df).withColumn("_b", _bounds(F.col("_n"), k))
+    return x.withColumn("n_train", F.size(F.filter("_b", train)).cast("long")).withColumn("n_test", F.size(F.filter("_b", inside)).cast("long")).drop("_b", "_n")
+
+
 def combinatorial_splits(df: DataFrame, groups: int = 6, tests: int = 2, embargo: float = 0.0) -> DataFrame:
     """(symbol, pos, split, role) for all choices of test groups; train rows clear every test block."""
     combos = list(combinations(range(groups), tests))

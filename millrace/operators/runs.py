@@ -150,12 +150,10 @@ def multi_horizon(bars: DataFrame, targets: tuple[str, ...] = ("1min", "5min", "
     size, and the rows that train and test in purged folds. One plan; the interval is a column."""
     out = None
     for t in targets:
-        x = horizon_rows(bars, t, source, **options)
-        sums = x.groupBy("symbol").agg(
+        x = R.with_fold_counts(horizon_rows(bars, t, source, **options), folds, embargo)
+        one = x.groupBy("symbol").agg(
             F.count(F.lit(1)).alias("n_bars"), F.count("label").alias("n_labels"), F.avg((F.col("label") > 0).cast("double")).alias("share_up"), F.avg("concurrency").alias("concurrency"),
-            F.avg("uniqueness").alias("uniqueness"), F.sum("uniqueness").alias("effective_size"), F.sum("combined").alias("weight"),
-        )
-        roles = R.purged_kfold(x, folds, embargo).groupBy("symbol").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
-        one = sums.join(roles, "symbol").select(F.lit(B.interval(t)).alias("interval"), "*")
+            F.avg("uniqueness").alias("uniqueness"), F.sum("uniqueness").alias("effective_size"), F.sum("combined").alias("weight"), F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"),
+        ).select(F.lit(B.interval(t)).alias("interval"), "*")
         out = one if out is None else out.unionByName(one)
     return out

@@ -119,3 +119,14 @@ def test_forest_scores_equal_plain_counts(spark):
     up, down = [s for t, _, s in rows if t], [s for t, _, s in rows if not t]
     assert up and down
     assert got.auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in up for b in down) / (len(up) * len(down)))
+
+
+def test_horizons_read_the_bars_once_each(spark):
+    plan = registry.QUERIES["multi_horizon"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and "Join" not in plan
+
+
+def test_spans_that_end_beyond_the_rows_have_no_weight(spark):
+    df = spark.createDataFrame([("a", 0, 1.0, 1, "x"), ("a", 1, 2.0, 9, "y"), ("a", 2, 4.0, None, "z"), ("b", 0, 1.0, None, None)], "symbol string, pos long, close double, touch_pos long, row string")
+    got = {(r.symbol, r.pos): (r.concurrency, r.uniqueness, r.row) for r in R.uniqueness(df).collect()}
+    assert got == {("a", 0): (1, 0.75, "x"), ("a", 1): (2, None, "y"), ("a", 2): (1, None, "z"), ("b", 0): (0, None, None)}
