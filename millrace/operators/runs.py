@@ -132,8 +132,8 @@ def load_resampled(bars: DataFrame, target: str, source: str = "1min", features:
     return x if features == [] else I.compute(x, features, drop_incomplete)
 
 
-def horizon_rows(bars: DataFrame, target: str, source: str = "1min", features: list[str] | None = None, ahead: int = 20, wide: float = 2.0, span: int = 100) -> DataFrame:
-    """Bars of an interval with features, barrier labels at ``wide`` deviations, and sample weights."""
+def horizon_labels(bars: DataFrame, target: str, source: str = "1min", features: list[str] | None = None, ahead: int = 20, wide: float = 2.0, span: int = 100) -> DataFrame:
+    """Bars of an interval with features, and barrier labels at ``wide`` deviations."""
     daily = B.interval(target) == "1d"
     x = load_resampled(bars, target, source, features)
     r = F.try_divide(F.col("close"), F.lag("close").over(S.by_symbol())) - 1
@@ -142,7 +142,12 @@ def horizon_rows(bars: DataFrame, target: str, source: str = "1min", features: l
         x = L.triple_barrier(x, ahead, wide, wide, "ewm_volatility", across=True)
     else:
         x = L.triple_barrier(L.ewm_volatility(x, span), ahead, wide, wide, "ewm_volatility")
-    return R.combined_weights(x)
+    return x
+
+
+def horizon_rows(bars: DataFrame, target: str, source: str = "1min", **options) -> DataFrame:
+    """The rows of ``horizon_labels`` with sample weights."""
+    return R.combined_weights(horizon_labels(bars, target, source, **options))
 
 
 def multi_horizon(bars: DataFrame, targets: tuple[str, ...] = ("1min", "5min", "15min", "1h", "1d"), source: str = "1min", folds: int = 6, embargo: float = 0.01, **options) -> DataFrame:
@@ -150,7 +155,8 @@ def multi_horizon(bars: DataFrame, targets: tuple[str, ...] = ("1min", "5min", "
     size, and the rows that train and test in purged folds. One plan; the interval is a column."""
     out = None
     for t in targets:
-        x = R.with_fold_counts(horizon_rows(bars, t, source, **options), folds, embargo)
+        spans = horizon_labels(bars, t, source, **options).select("symbol", "pos", "close", "touch_pos", "label")  # what weights and folds need
+        x = R.with_fold_counts(R.combined_weights(spans), folds, embargo)
         one = x.groupBy("symbol").agg(
             F.count(F.lit(1)).alias("n_bars"), F.count("label").alias("n_labels"), F.avg((F.col("label") > 0).cast("double")).alias("share_up"), F.avg("concurrency").alias("concurrency"),
             F.avg("uniqueness").alias("uniqueness"), F.sum("uniqueness").alias("effective_size"), F.sum("combined").alias("weight"), F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"),
